@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def utf8(c: str | Column) -> Column:
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch that hold about SLICE_BYTES of the given column, one row at least."""
     n, at = batch.num_rows, 0
-    lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     while at < n:
         end, size = at, 0
         while end < n and (end == at or size + lengths[end] <= SLICE_BYTES):

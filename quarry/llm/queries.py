@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe
+from quarry.llm import bpe, pii, secrets
 from quarry.llm.common import read
+from quarry.llm.spans import as_text, digest
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
+def _is(kind: str) -> Callable:
+    return lambda s: s["kind"] == kind
+
+
+def _spans(df: DataFrame, kinds: list[str]) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = (F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in kinds)
+    return df.select("doc_id", *counts, digest(as_text(base)).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data."""
+    return _spans(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")), pii.BASE)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets, through a ledger that starts empty."""
+    return _spans(secrets.findings(read(spark, sf_dir, "documents").select("doc_id", "text")), secrets.BASE)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op8_secrets": op8_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
