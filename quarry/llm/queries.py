@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, packing, pii, secrets
+from quarry.llm import bpe, minhash, packing, pii, secrets
 from quarry.llm.common import read
 from quarry.llm.spans import as_text, digest
 
@@ -39,6 +39,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")), pii.BASE)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their shingles of two words."""
+    return minhash.duplicates(read(spark, sf_dir, "documents"), 2, 80)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece with its place in a sequence of at most 4096 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
@@ -49,6 +54,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.findings(read(spark, sf_dir, "documents").select("doc_id", "text")), secrets.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op5_packing": op5_packing, "op8_secrets": op8_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op8_secrets": op8_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
