@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, minhash, packing, pii, secrets
+from quarry.llm import bpe, embdedup, minhash, packing, pii, secrets
 from quarry.llm.common import read
 from quarry.llm.spans import as_text, digest
 
@@ -49,11 +49,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op7_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked by a cosine of 0.98 or more."""
+    return embdedup.duplicates(read(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets, through a ledger that starts empty."""
     return _spans(secrets.findings(read(spark, sf_dir, "documents").select("doc_id", "text")), secrets.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op8_secrets": op8_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op7_embdedup": op7_embdedup, "op8_secrets": op8_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
