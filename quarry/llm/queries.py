@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embdedup, minhash, packing, pii, secrets
+from quarry.llm import bpe, embdedup, minhash, packing, pii, secrets, toxicity
 from quarry.llm.common import read
 from quarry.llm.spans import as_text, digest
 
@@ -59,6 +59,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.findings(read(spark, sf_dir, "documents").select("doc_id", "text")), secrets.BASE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op7_embdedup": op7_embdedup, "op8_secrets": op8_secrets}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a network trained on the labels outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, net).withColumn("held_out", F.coalesce(toxicity.fold() == 0, F.lit(False)))
+    return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op7_embdedup": op7_embdedup, "op8_secrets": op8_secrets, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
