@@ -284,6 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 _scorers: dict[str, Scorer] = {}
 
 
+def scorer(name: str, sent) -> Scorer:
+    """The worker's scorer for a broadcast network; it outlives a task."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(sent.value)
+    return _scorers[name]
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """The columns of docs but for any named toxicity, and toxicity: from 0 to 1, higher for likelier toxic.
 
@@ -295,12 +303,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     sent, name = spark.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(sent.value)
+        own = scorer(name, sent)
         for whole in batches:
             for b in slices(whole, whole.num_columns - 1):
-                s = _scorers[name].scores(texts_of(b, b.num_columns - 1))
+                s = own.scores(texts_of(b, b.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], [*b.schema.names[:-1], "toxicity"])
 
     kept = [f for f in docs.schema.fields if f.name != "toxicity"]
