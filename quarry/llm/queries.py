@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, embdedup, minhash, packing, pii, secrets, toxicity
-from quarry.llm.common import read
+from quarry.llm import ann, bpe, embdedup, minhash, packing, pii, secrets, toxicity, urls, warc
+from quarry.llm.common import fresh_path, read
 from quarry.llm.spans import as_text, digest
 
 
@@ -39,6 +39,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")), pii.BASE)
 
 
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 % of their shingles of two words."""
     return minhash.duplicates(read(spark, sf_dir, "documents"), 2, 80)
@@ -49,6 +57,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each whose id is divisible by 50."""
+    return ann.search(read(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op7_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label linked by a cosine of 0.98 or more."""
     return embdedup.duplicates(read(spark, sf_dir, "embeddings"), 0.98)
@@ -59,6 +72,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.findings(read(spark, sf_dir, "documents").select("doc_id", "text")), secrets.BASE)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives that hold it."""
+    path = fresh_path(spark, "archives")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).drop("payload")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a network trained on the labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +87,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_pii": op2_pii, "op4_minhash": op4_minhash, "op5_packing": op5_packing, "op7_embdedup": op7_embdedup, "op8_secrets": op8_secrets, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_urls, op4_minhash, op5_packing, op6_ann, op7_embdedup, op8_secrets, op9_warc, op10_toxicity)
+}
 
 ORACLE_SQL: dict[str, str] = {}

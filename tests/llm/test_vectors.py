@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quarry.llm import embdedup
+from quarry.llm import ann, embdedup
 
 
 def make(n=500, dims=16, seed=3):
@@ -57,3 +57,58 @@ def test_duplicates_hot_copies_and_missing_ids(spark):
     got = embdedup.duplicates(spark.createDataFrame(rows, SCHEMA), 0.98).collect()
     assert {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {(895, 5, True), (895, 5, False)}
     assert sorted((r.n_links, r.component_id or 0, r.kept) for r in got if r.vec_id is None) == [(0, 0, True), (895, 5, False)]
+
+
+def nearest(x, q, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u[q]
+    order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+    return [(int(i), float(s[i])) for i in order]
+
+
+def test_walk_sees_cells_by_rising_distance():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(9), rng.random(7)
+    counts = rng.integers(0, 3, 63)
+    order = [int(c) for c in np.argsort((a[:, None] + b).ravel()) if counts[c]]
+    for enough in (1, 10, 1000):
+        got = ann.walk(a, b, counts, enough)
+        assert got == order[: len(got)] and (counts[got].sum() >= enough or len(got) == len(order))
+        assert counts[got[:-1]].sum() < enough
+
+
+def test_search(spark):
+    x = make(1900, 16).astype(np.float64)
+    df, _ = table(spark, x.astype(np.float32), np.zeros(len(x)))
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for r in ann.search(df.withColumnRenamed("node", "row"), 50, 5).collect():
+        if r.query_id < 1900:
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    full = np.vstack([x, x[19]])
+    names = [*range(len(x)), 3000]
+    assert set(got) >= {q for q in range(0, 1900, 50)}
+    hits = total = 0
+    for q in range(0, 1900, 50):
+        some = sorted(got[q])
+        assert [r for r, *_ in some] == [1, 2, 3, 4, 5]
+        assert [(-s, i) for _, i, s in some] == sorted((-s, i) for _, i, s in some)
+        want = {names[i] for i, _ in nearest(full, q, 5)}
+        hits, total = hits + len(want & {i for _, i, _ in some}), total + 5
+        u = full / np.linalg.norm(full, axis=1, keepdims=True)
+        for _, i, s in some:
+            assert abs(s - u[q] @ u[names.index(i)]) < 1e-12
+    assert hits / total >= 0.9
+
+
+def test_search_of_copies_and_few(spark):
+    rows = [(i, [1.0, 0.0], 0, "", 0) for i in range(0, 400)] + [(500, [0.0, 1.0], 0, "", 0), (500, [0.0, 1.0], 0, "", 0), (None, [1.0, 0.0], 0, "", 0), (550, [1.0], 0, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in ann.search(df, 50, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert sorted(got[0]) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert sorted(got[50]) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert sorted(got[500]) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert 550 not in got
+    assert ann.search(df.limit(0)).count() == 0
