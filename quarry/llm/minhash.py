@@ -220,7 +220,7 @@ def between(rows: DataFrame, hashes: int, least: float) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, for every row of docs.
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, text_hash, for every row of docs.
 
     A pair at the threshold is missed with probability (1 - t^rows)^(hashes / rows): 5e-8 as set here. Null and blank texts have
     no shingles and are their own component. A row that repeats an id stays, with its own text's component. A row without an id
@@ -251,6 +251,18 @@ def duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int =
     joined = components(links)
 
     of = classes.select("set_hash", "node").join(joined, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    out = drawn.select("doc_id", "n_shingles", "set_hash").join(of, "set_hash", "left")
+    out = drawn.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of, "set_hash", "left")
     component = F.when(F.col("component") < NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of which `duplicates` keeps; of rows that repeat both an id and a text with words, one."""
+    found = keep(duplicates(docs, words, percent), "found")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text_hash() == gone["__hash"]), "left_anti")
+    more = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    if more.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(more["__id"]) & (text_hash() == more["__hash"])
+    return left.join(more, same, "left_anti").unionByName(left.join(more, same, "left_semi").dropDuplicates(["doc_id", "text"]))

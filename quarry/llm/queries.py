@@ -87,8 +87,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_urls, op4_minhash, op5_packing, op6_ann, op7_embdedup, op8_secrets, op9_warc, op10_toxicity)
+    f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_urls, op4_minhash, op5_packing, op6_ann, op7_embdedup, op8_secrets, op9_warc, op10_toxicity, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {}
