@@ -1 +1 @@
-"""."""
+"""Types, spatial expressions, text."""

@@ -1 +1 @@
-"""."""
+"""Operators on DataFrames: key sets and text retrieval."""

@@ -1 +1 @@
-"""."""
+"""Tables: versioned storage, locks, constraints."""

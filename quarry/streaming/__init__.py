@@ -1 +1 @@
-"""."""
+"""Streams of rows into tables."""
