@@ -49,7 +49,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 80 % of their shingles of two words."""
-    return minhash.duplicates(read(spark, sf_dir, "documents"), 2, 80)
+    return minhash.duplicates(read(spark, sf_dir, "documents"), 2, 80).drop("text_hash")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_urls, op4_minhash, op5_packing, op6_ann, op7_embdedup, op8_secrets, op9_warc, op10_toxicity, pipeline)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACHED = """reached AS (SELECT id, id AS c FROM nodes UNION SELECT links.b, reached.c FROM reached JOIN links ON links.a = reached.id),
+components AS (SELECT id, min(c) AS component_id FROM reached GROUP BY 1)"""
+
+#: The other queries segment, tokenise, pack, train or search in ways that SQL cannot say; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": rf"""WITH RECURSIVE words AS (
+    SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+nodes AS (SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+each AS (SELECT id, len(s) AS n, unnest(s) AS x FROM nodes),
+shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM each a JOIN each b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (na + nb - k)), {_REACHED}
+SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN components USING (id)""",
+    "op7_embdedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+links AS (SELECT a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.label = b.label AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.98), {_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM nodes JOIN components USING (id)""",
+    "op9_warc": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN first <> page_id THEN first END AS refers_to FROM q""",
+}
