@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -400,17 +400,32 @@ class Session:
             e.parts.append(self.store.write(s.table, one.coalesce(1), e))
         return Result("1 fila insertada", affected_rows=1)
 
-    def _affected(self, s: t.Delete | t.Update, e: Entry) -> tuple[DataFrame, planner.Scope]:
-        scope = planner.Scope([planner.Table(s.table, self._frame(s.table, e), e.key)])
-        return scope.frame(0).withColumn("__hit", F.coalesce(planner.condition(scope, s.where), F.lit(False))), scope
+    def _hits(self, s: t.Delete | t.Update, e: Entry) -> tuple[int, list[str], DataFrame, planner.Scope]:
+        """How many rows a condition selects, the folders that hold none of them, and the rows of the others with `__hit`."""
+        scope = planner.Scope([planner.Table(s.table, self.spark.createDataFrame([], e.schema), e.key)])
+        condition = F.coalesce(planner.condition(scope, s.where), F.lit(False))
+        inner = [F.col(f"`{f.name}`").alias(i) for _, _, f, i in scope.columns]
+        parts: dict[str, int] = {}
+        if e.parts:
+            stored = self.store.frame(e).select(*inner, F.regexp_extract("_metadata.file_path", r"(data/[^/]+/[0-9a-f]{32})/", 1).alias("__part"))
+            parts = {r["__part"]: r["count"] for r in stored.where(condition).groupBy("__part").count().collect()}
+        rows = self.open.pending.get(s.table, []) if self.open else []
+        fresh = self.spark.createDataFrame(rows, e.schema)
+        n = sum(parts.values()) + (fresh.select(*inner).where(condition).count() if rows else 0)
+        some = self.store.frame(replace(e, parts=[p for p in e.parts if p in parts]))
+        return n, [p for p in e.parts if p not in parts], some.unionByName(fresh).select(*inner).withColumn("__hit", condition), scope
+
+    def _replace(self, name: str, e: Entry, untouched: list[str], df: DataFrame) -> None:
+        part = self.store.write(name, df, e)
+        if self.open:
+            self.open.pending.pop(name, None)
+        e.parts = [*untouched, part]
 
     def _delete(self, s: t.Delete, tables: dict[str, Entry]) -> Result:
         e = self._entry(s.table, tables)
-        marked, scope = self._affected(s, e)
-        n = marked.where("__hit").count()
+        n, untouched, marked, _ = self._hits(s, e)
         if n:
-            left = marked.where("not __hit").drop("__hit").toDF(*(f.name for f in e.schema.fields))
-            self._rewrite(s.table, e, left)
+            self._replace(s.table, e, untouched, marked.where("not __hit").drop("__hit").toDF(*(f.name for f in e.schema.fields)))
         return Result(f"{n} fila(s) eliminada(s)", affected_rows=n)
 
     def _update(self, s: t.Update, tables: dict[str, Entry]) -> Result:
@@ -424,8 +439,7 @@ class Session:
             if c not in fields:
                 raise SqlError("semantic", f"no column {c}")
             new[c] = value((v.x, v.y) if isinstance(v, t.Point) else v, fields[c])
-        marked, scope = self._affected(s, e)
-        n = marked.where("__hit").count()
+        n, untouched, marked, scope = self._hits(s, e)
         if n:
             self.engine.locks.take(self, s.table, EXCLUSIVE)
 
@@ -437,8 +451,8 @@ class Session:
 
             after = marked.select(*(changed(f, inner) for _, _, f, inner in scope.columns))
             if e.checks or {e.key, *e.unique} & new.keys():
-                self._hold(e, after, set(new))
-            self._rewrite(s.table, e, after)
+                self._hold(e, self.store.frame(replace(e, parts=untouched)).unionByName(after), set(new))
+            self._replace(s.table, e, untouched, after)
         return Result(f"{n} fila(s) actualizada(s)", affected_rows=n)
 
 
