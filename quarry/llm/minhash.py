@@ -1,8 +1,8 @@
 """Near duplicates by MinHash: many universal hash minima, bands, verification, components.
 
 Documents with equal sets of shingles form a class, the node of a graph. Classes that share a band are candidates. Of a
-bucket, first each member is checked against the least one; of buckets that then still hold several components, every member is
-compared with every member outside the bucket's largest component, in blocks: signatures propose, full sets decide.
+bucket, first each member is checked against the least one. Where buckets then still hold several components, all members are
+compared with those outside the largest component, in blocks: signatures propose, full sets decide.
 """
 
 from __future__ import annotations
@@ -187,36 +187,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("__a").cast("long") + F.size("__b") - shared)).select("u", "v")
 
 
-def between(rows: DataFrame, hashes: int, least: float) -> DataFrame:
-    """u, v: pairs of different labels in a bucket whose signatures agree in `least` of their places or more.
+def meetings(rows: DataFrame) -> DataFrame:
+    """most, node, label, blocks, parts, from bucket, node, label of the members of open buckets.
 
-    rows: bucket, node, label, signature, for the members of open buckets. Members are dealt into blocks of about BLOCK; those
-    outside the bucket's most frequent label visit every block, in parts of about BLOCK as well.
+    The nodes of all buckets in which a label is the most frequent one meet once, however many buckets they share. All of them
+    are dealt into blocks of about BLOCK; those of other labels also visit every block, in parts of about BLOCK.
     """
     labels = rows.groupBy("bucket", "label").count()
-    most = labels.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.max("count").alias("top"))
-    most = most.select("bucket", "most", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("parts"))
-    dealt = rows.join(most, "bucket")
+    most = labels.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    met = keep(rows.join(most, "bucket").select("most", "node", "label").distinct(), "met")
+    sizes = met.groupBy("most").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum((F.col("label") != F.col("most")).cast("long")) / BLOCK).alias("parts"))
+    return met.join(sizes, "most")
+
+
+def links_between(met: DataFrame, signed: DataFrame, hashes: int, percent: int) -> DataFrame:
+    """u, v: links between different labels that meet, one at least for each visitor and label that it links to.
+
+    Signatures propose, full sets decide, and nothing but links leaves a task.
+    """
+    t = percent / 100
+    least = t - DEVIATIONS * (t * (1 - t) / hashes) ** 0.5
+    full = met.join(signed, "node")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
-    cols = ["bucket", "node", "label", "signature"]
-    members = dealt.select(*cols, own.alias("block"), every("parts").alias("part"), F.lit(False).alias("visits"))
-    visitors = dealt.where("label <> most").select(*cols, every("blocks").alias("block"), part.alias("part"), F.lit(True).alias("visits"))
+    cols = ["most", "node", "label", "signature", "shingles"]
+    members = full.select(*cols, own.alias("block"), every("parts").alias("part"), F.lit(False).alias("visits"))
+    visitors = full.where("label <> most").select(*cols, every("blocks").alias("block"), part.alias("part"), F.lit(True).alias("visits"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         sign = np.frombuffer(b"".join(g["signature"]), dtype=np.uint32).reshape(len(g), hashes)
         node, label, visits = g["node"].to_numpy(), g["label"].to_numpy(), g["visits"].to_numpy()
-        here, there = np.flatnonzero(~visits), np.flatnonzero(visits)
-        out = []
-        for j in there.tolist():
+        sets = [np.asarray(x).view(np.uint64) for x in g["shingles"]]
+        here, out = np.flatnonzero(~visits), []
+        for j in np.flatnonzero(visits).tolist():
             other = here[label[here] != label[j]]
-            close = other[(sign[other] == sign[j]).sum(1) >= least * hashes]
-            out.append(np.stack([np.minimum(node[close], node[j]), np.maximum(node[close], node[j])], 1))
-        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
-
-    return members.unionByName(visitors).groupBy("bucket", "block", "part").applyInPandas(run, "u long, v long")
+            alike = (sign[other] == sign[j]).sum(1)
+            close = other[np.argsort(-alike, kind="stable")[: int((alike >= least * hashes).sum())]]
+            while len(close):
+                some, close = close[:64], close[64:]
+                sizes = np.array([len(sets[i]) for i in some])
+                x = np.concatenate([sets[i] for i in some])
+                place = np.minimum(np.searchsorted(sets[j], x), len(sets[j]) - 1)
+                shared = np.add.reduceat((sets[j][place] == x).astype(np.int64), np.cumsum(sizes) - sizes)
+                linked = some[100 * shared >= percent * (sizes + len(sets[j]) - shared)]
+                # one link to a label is enough
+                _, first = np.unique(label[linked], return_index=True)
+                out += [(node[j], node[i]) for i in linked[first]]
+                close = close[~np.isin(label[close], label[linked])]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return members.unionByName(visitors).groupBy("most", "block", "part").applyInPandas(run, "u long, v long")
 
 
 def duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int = 128, rows: int = 4) -> DataFrame:
@@ -243,11 +264,9 @@ def duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int =
     label = components(links).select("node", F.col("component").alias("label"))
     open_ = members.where("n > 2").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     still = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    t = percent / 100
-    least = t - DEVIATIONS * (t * (1 - t) / hashes) ** 0.5
-    signed = open_.join(still, "bucket").join(classes.select("node", "signature"), "node")
-    more = keep(between(signed, hashes, least).distinct().join(stars, ["u", "v"], "left_anti"), "between")
-    links = links.unionByName(verified(more, sets, percent))
+    met = meetings(open_.join(still, "bucket"))
+    signed = classes.select("node", "signature").join(sets, "node")
+    links = keep(links.unionByName(links_between(met, signed, hashes, percent)), "links")
     joined = components(links)
 
     of = classes.select("set_hash", "node").join(joined, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
