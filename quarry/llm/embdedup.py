@@ -115,18 +115,13 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             a, b = a[exact], b[exact]
         if len(a):
             # the filter counts a pair only if it is the least that both share
-            width = max(len(f) for f in lists)
-            table = np.full((len(g), width), -1, dtype=np.int64)
-            for k, f in enumerate(lists):
-                table[k, : len(f)] = f
-            before = np.where((table >= 0) & (table < here), table, -1)
-            first = np.ones(len(a), dtype=bool)
-            for k in range(0, len(a), 20_000):
-                p, q = before[a[k : k + 20_000]], before[b[k : k + 20_000]]
-                some = np.zeros(len(p), dtype=bool)
-                for c in range(width):
-                    some |= ((q == p[:, c : c + 1]) & (q >= 0)).any(1)
-                first[k : k + 20_000] = ~some
+            rows_of = np.unique(np.concatenate([a, b]))
+            earlier = [f[f < here] for f in lists[rows_of]]
+            held, column = np.unique(np.concatenate(earlier), return_inverse=True)
+            member = np.zeros((len(rows_of), len(held)), dtype=np.float32)
+            member[np.repeat(np.arange(len(rows_of)), [len(f) for f in earlier]), column] = 1
+            member = member[:, member.sum(0) > 1]
+            first = (member @ member.T)[np.searchsorted(rows_of, a), np.searchsorted(rows_of, b)] == 0
             a, b = a[first], b[first]
         n = np.zeros(len(g), np.int64)
         np.add.at(n, a, copies[b])
