@@ -26,6 +26,8 @@ BLOCKS, WORDS = 3, 64
 PASSED, LEAST = 24, 16
 #: Vectors of a bucket that meet in one task, about.
 GROUP = 512
+#: Vectors for each task that compares the buckets of up to GROUP vectors.
+TOGETHER = 128
 
 
 @lru_cache(maxsize=4)
@@ -100,13 +102,25 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
+    # small filters share a task: a group of its own for each would cost more than what it compares
+    tasks = max(1, -(-listed.count() // TOGETHER))
+    key = F.xxhash64("label", "dims", "filter")
+    rows = rows.withColumn("task", F.when(F.col("n") > 1, key).otherwise(F.pmod(key, F.lit(tasks))))
+
+    def compare(some: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
+        return pd.concat([none, *(out for _, g in some.groupby(["label", "dims", "filter"], sort=False) if (out := compare_filter(g)) is not None)])
+
+    def compare_filter(g: pd.DataFrame) -> pd.DataFrame | None:
         x = unit(np.stack(g["v"].to_numpy()))
-        node, copies, own = g["node"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
-        here, lists = g["filter"].iat[0], g["filters"].to_numpy()
         i, j = g["i"].iat[0], g["j"].iat[0]
+        own = g["own"].to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         close = np.argwhere(x[left] @ x[right].T >= threshold - 1e-9)
+        if not len(close) or (i == j and len(close) == len(left)):
+            return None  # a vector and itself
+        node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+        here, lists = g["filter"].iat[0], g["filters"].to_numpy()
         a, b = left[close[:, 0]], right[close[:, 1]]
         if i == j:
             a, b = a[a < b], b[a < b]
@@ -140,7 +154,7 @@ def links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         out = pd.DataFrame({"u": node[some], "v": node[some], "n": n[some]})
         return pd.concat([out, pd.DataFrame({"u": [node[s] for s, _ in edges], "v": [node[t] for _, t in edges], "n": 0})]).astype("int64")
 
-    found = keep(rows.groupBy("label", "dims", "filter", "i", "j").applyInPandas(compare, "u long, v long, n long"), "links")
+    found = keep(rows.groupBy("task", "i", "j").applyInPandas(compare, "u long, v long, n long"), "links")
     return found.where("u = v").groupBy("u").agg(F.sum("n").alias("n")), found.where("u <> v").select("u", "v")
 
 
