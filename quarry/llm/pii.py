@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.spans import with_matches
+from quarry.llm.spans import SPAN, with_matches
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "ssn", "tel"]
 
 #: Possessive forms of the plain patterns; \G or a look behind lets a match start only where a longer one cannot, so that time is linear.
+#: iban matches the first four characters alone and looks ahead for the rest, so that every start is tried; accounts() finds the end.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+)(.-])(?<!\+[0-9]{1,3}\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
@@ -55,13 +56,43 @@ def mod97(text: Column) -> Column:
     return F.length(bare).between(15, 34) & (F.aggregate(value, F.lit(0), lambda a, x: F.when(x > 9, a * 100 + x).otherwise(a * 10 + x) % 97) == 1)
 
 
+#: Characters of an account number by country, as registered.
+LENGTHS = {
+    country: int(n)
+    for n, countries in (
+        x.split(":")
+        for x in """15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA
+        23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM
+        28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU""".split()
+    )
+    for country in countries.split(",")
+}
+
+
+def accounts(heads: Column, rests: Column) -> Column:
+    """Account numbers by their first four characters and the run that follows each of these.
+
+    A run may go on into the next words, so every part of it that ends at a space or with the run is tried. Of several that
+    pass, the one as long as its country's numbers are is taken, else the longest. Numbers from different starts may overlap.
+    """
+    lengths = F.create_map(*(F.lit(x) for pair in LENGTHS.items() for x in pair))
+
+    def account(s: Column, rest: Column) -> Column:
+        words = F.split(F.concat(s["text"], rest), " ")
+        good = F.filter(F.transform(words, lambda _, i: F.array_join(F.slice(words, F.lit(1), i + 1), " ")), mod97)
+        fit = F.filter(good, lambda x: F.length(F.regexp_replace(x, " ", "")) == F.try_element_at(lengths, F.substring(x, 1, 2)))
+        best = F.coalesce(F.try_element_at(fit, F.lit(-1)), F.try_element_at(good, F.lit(-1)))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(best)).alias("end"), best.alias("text"))
+
+    return F.filter(F.zip_with(heads, rests, account), lambda s: s["text"].isNotNull())
+
+
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 CONFIRM = {
     "ip": lambda x: x.rlike(rf"\A{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}\z"),
     "card": luhn,
     "phone": lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(8, 15),
-    "iban": mod97,
     "ssn": lambda x: ~x.rlike(r"\A(?:000|666|9)|-00-|0000\z"),
 }
 
@@ -78,6 +109,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def scored(kind: str) -> Column:
         some = F.col(kind)
+        if kind == "iban":
+            some = F.when(F.size(some) > 0, accounts(some, F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(1)))).otherwise(F.array().cast(SPAN))
         if kind in CONFIRM:
             some = F.filter(some, lambda s: CONFIRM[kind](s["text"]))
         if kind == "tel":

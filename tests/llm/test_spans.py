@@ -79,6 +79,33 @@ def test_pii_redacted(spark):
         assert r.text == want + r.old[at:]
 
 
+def test_ibans_before_and_after_other_words(spark):
+    de, gb, be = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"
+    bare = [x.replace(" ", "") for x in (de, gb, be)]
+    texts = {}
+    for x in (de, gb, be, *bare):
+        for before in ("", "pay ", "é IBAN ", "AB12 ", "XY99 0000 1111 2222 "):
+            for after in ("", " Please", " Thanks.", " BIC COBADEFF", " 2024-01-02", " A", " 7", ", OK", " and more", "\nNEXT", " XX"):
+                texts[before + x + after] = [x]
+    for x, y in ((de, gb), (bare[0], bare[1]), (be, de), (bare[2], bare[2]), (bare[1], de)):
+        texts[f"{x} {y}"] = [x, y]
+        texts[f"AB12 {x} AND {y} OK"] = [x, y]
+    for wrong in (de[:-1] + "1 Please", bare[0] + "A", bare[0] + "a", "x" + bare[0], "DE89 Please", de[:15]):
+        texts[wrong] = []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(docs).collect():
+        got = [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"]
+        assert [x for x in got if not x.startswith(("AB12", "XY99"))] == texts[r.text], r.text  # these may pass by chance
+    one = spark.createDataFrame([(1, f"pay {bare[0]} Please"), (2, f"{gb} 2024-01-02")], "doc_id long, text string")
+    assert [r.text for r in pii.redact(pii.find(one)).orderBy("doc_id").collect()] == ["pay [IBAN] Please", "[IBAN] 2024-01-02"]
+
+
+def test_many_starts_of_ibans_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "AB12 " * 4_000 + "DE89370400440532013000 Please")], "doc_id long, text string")
+    (r,) = pii.find(docs).collect()
+    assert [(s.start, s.end) for s in r.spans if s.kind == "iban"][-1] == (20_000, 20_022)
+
+
 def test_secrets(spark):
     check(spark, queries._spans(secrets.findings(table(spark)), secrets.BASE), base_secrets, secrets.BASE)
 
