@@ -28,11 +28,12 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import Bounded, keep, ship, slices, texts_of, utf8
 
-#: A length is large if it is more than this share of a sequence. Lower shares round more lengths up and cost up to 0.4 % more
-#: sequences on these documents; this one comes within 0.01 % of the least number that the tokens need.
-LARGE = 0.45
-#: Groups of equal cardinality into which the large lengths are cut.
-GROUPS = 48
+#: A length is large if it is more than a share of a sequence. Large lengths are cut into groups of equal cardinality; a length
+#: that would fill a group has one of its own. No share is best for all histograms: a low one lets more lengths share a
+#: configuration but rounds more of them up. So these pairs of a share and a number of groups are tried in turn, and the plan
+#: with the fewest sequences is taken; one within CLOSE of the least number that the tokens need ends the search.
+TRIES = ((0.45, 48), (1 / 5, 48), (1 / 10, 48), (1 / 5, 128))
+CLOSE = 0.0005
 #: Entries of a worker's caches: chunks between white space, and the words in them, which cost far more to encode.
 CHUNKS_CACHED, WORDS_CACHED, LONGEST_CACHED = 400_000, 700_000, 48
 #: Pieces of one length among which places are dealt in one task, about.
@@ -205,8 +206,20 @@ def configurations(sizes: list[int], counts: list[int], size: int) -> list[tuple
     return out
 
 
-def plan(histogram: dict[int, int], size: int, large: float = LARGE, groups: int = GROUPS) -> Plan:
+def plan(histogram: dict[int, int], size: int) -> Plan:
     """Places for a histogram {length: count} of lengths from 1 to size; an empty one has no sequences."""
+    least, best = -(-sum(n * c for n, c in histogram.items()) // size), None
+    for large, groups in TRIES:
+        tried = plan_at(histogram, size, large, groups)
+        if best is None or tried.sequences < best.sequences:
+            best = tried
+        if best.sequences <= least * (1 + CLOSE):
+            break
+    return best
+
+
+def plan_at(histogram: dict[int, int], size: int, large: float, groups: int) -> Plan:
+    """The plan whose large lengths are those above this share of a sequence."""
     out, left = Plan(size), {n: c for n, c in sorted(histogram.items(), reverse=True) if c}
     if c := left.pop(size, 0):
         out.put(size, out.open(c))
@@ -217,10 +230,13 @@ def plan(histogram: dict[int, int], size: int, large: float = LARGE, groups: int
             open_runs.setdefault(size - run.used, []).append(run)
 
     if total := sum(c for n, c in left.items() if n > large * size):
-        # groups of equal cardinality, longest first; each rounded up to its longest
-        each, cut, room = -(-total // groups), [[]], 0
-        room = each
+        # groups of equal cardinality, longest first; each rounded up to its longest; frequent lengths alone, as they are
+        each, cut, room = -(-total // groups), [], 0
         for n, c in ((n, c) for n, c in left.items() if n > large * size):
+            if c >= each:
+                cut.append([[n, c]])
+                room = 0
+                continue
             while c:
                 if not room:
                     cut.append([])

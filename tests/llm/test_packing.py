@@ -48,6 +48,24 @@ def test_plan():
     assert packing.plan({2049: 10, 2047: 10}, 4096).sequences == 10
 
 
+def test_plan_of_few_lengths_that_fill_sequences_together():
+    for histogram, most in (
+        ({1640: 300, 1228: 600}, 300),
+        ({1640: 300, 1228: 600, 500: 100, 98: 20}, 313),
+        ({1640: 3000, 1228: 6000, 700: 10, 596: 5000}, 3836),
+        ({1365: 30_000, 1366: 15_000, 400: 5}, 15_008),
+    ):
+        p = packing.plan(histogram, 4096)
+        filled(p, histogram)
+        assert p.sequences <= most
+    rnd = random.Random(9)
+    lengths = [rnd.randint(800, 1900) for _ in range(20_000)] + [1640] * 6_000 + [1228] * 12_000
+    histogram = {x: lengths.count(x) for x in set(lengths)}
+    p = packing.plan(histogram, 4096)
+    filled(p, histogram)
+    assert p.sequences <= sum(lengths) / 4096 * 1.015
+
+
 def test_pack(spark):
     rnd = random.Random(7)
     texts = ["".join(rnd.choice(["the ", "Été", "ﬁ", "İ", "'s", "9", "漢", "\x1c", "́", "é", " ", "\n", " ", "###", "<|endoftext|>", "Straße ", "Σ", "ς"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
