@@ -1,6 +1,7 @@
 """URL filters: rules on hosts and paths, and, where none fits, naive Bayes over segmented host and path tokens.
 
-A host's labels are split into words by a unigram Viterbi whose counts come from the URLs' paths and a seed list.
+A host's labels are split into words by a unigram Viterbi whose counts come from the URLs' paths and a seed list. The counts of
+all path words stay distributed: each host gets those of its own substrings by a join.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Bounded, ship, utf8
+from quarry.llm.common import Bounded, keep, ship, utf8
 
 #: Words that the segmenter knows beside the table's own, and the labelled examples that the classifier learns from (fixed values).
 BLOCK_EXAMPLES = """free casino bonus; online casino slots; adult video xxx; hot sex cams; porn tube; cheap viagra pills; spam farm links; buy
@@ -25,9 +26,12 @@ ALLOW_EXAMPLES = """blog; news daily; www; world news today; university research
 information; science journal; recipes kitchen; travel guide; weather report; school education; history museum; music review; film review;
 garden tips; photo gallery; local government services; developer forum; wiki encyclopedia; book club; sports results; company about contact;
 article archive; help support""".replace("\n", " ")
-#: Distinct tokens of the table's URLs that the segmenter learns, the most frequent ones; the longest word; the prior of block.
-VOCABULARY, LONGEST, PRIOR = 20_000, 24, 0.2
-SEED_COUNT = 1_000.0
+#: The longest word of the segmenter; the prior of block.
+LONGEST, PRIOR = 24, 0.2
+#: The segmenter's counts add up to TOTAL, whatever the size of the table; the seed list has this share of it.
+TOTAL, SEED_SHARE = 150_000.0, 0.5
+#: Counts that a worker's segmenter holds before it starts anew.
+HELD = 500_000
 
 TOKEN = re.compile("[a-z]+")
 
@@ -44,11 +48,16 @@ def parts(url: Column) -> tuple[Column, Column]:
 class Segmenter:
     """Splits a name into the likeliest words; a word that is not known costs more the longer it is."""
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: -math.log(c / total) for w, c in counts.items() if 0 < len(w) <= LONGEST}
-        self.unknown = math.log(total) + 2
+    def __init__(self, counts: dict[str, float], total: float | None = None):
+        self.total = total or sum(counts.values()) + 1
+        self.unknown = math.log(self.total) + 2
+        self.cost: dict[str, float] = {}
         self.kept = Bounded(100_000)
+        self.learn(counts)
+
+    def learn(self, counts: dict[str, float]) -> None:
+        """Counts of more words; names that hold one of them must not have been split before."""
+        self.cost.update((w, min(-math.log(c / self.total), self.unknown + 3.0 * len(w))) for w, c in counts.items() if 0 < len(w) <= LONGEST)
 
     def split(self, name: str) -> list[str]:
         if (known := self.kept.get(name)) is not None:
@@ -108,15 +117,49 @@ class Rules:
                 return best
 
 
-def counts(pages: DataFrame) -> dict[str, float]:
-    """How often words occur in all paths, where they stand apart: the VOCABULARY most frequent, and the seeds."""
-    _, path = parts(F.col("url"))
+def names(host: str) -> list[str]:
+    """What a host's labels but the last are made of, a host of one label taken whole."""
+    return TOKEN.findall(host.rpartition(".")[0] or host)
+
+
+def substrings(host: str) -> set[str]:
+    """Whatever may be a word in a host's names, and the empty text, so that each host has one."""
+    return {n[i:j] for n in names(host) for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST) + 1)} | {""}
+
+
+def segmented(pages: DataFrame) -> DataFrame:
+    """h (binary), split: each host once, and its names' words with spaces between.
+
+    Words count as often as they occur in all paths, where they stand apart; TOTAL is shared out among them and the seeds.
+    """
+    host, path = parts(F.col("url"))
+    seeds = Counter(TOKEN.findall(BLOCK_EXAMPLES + " " + ALLOW_EXAMPLES))
     tokens = F.explode(F.regexp_extract_all(F.lower(path), F.lit("[a-z]{2,24}"), F.lit(0)))
-    top = pages.select(tokens.alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
-    out = {r["w"]: float(r["count"]) for r in top}
-    for w in TOKEN.findall(BLOCK_EXAMPLES + " " + ALLOW_EXAMPLES):
-        out[w] = out.get(w, 0.0) + SEED_COUNT
-    return out
+    counts = keep(pages.select(tokens.alias("w")).groupBy("w").count(), "words")
+    every = counts.agg(F.sum("count")).first()[0] or 1
+    seed = {w: c * TOTAL * SEED_SHARE / seeds.total() for w, c in seeds.items()}
+    each = TOTAL * (1 - SEED_SHARE) / every
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                pairs = [(h, w) for h in b.column(0)[at : at + 1_000].to_pylist() for w in sorted(substrings(h.decode("utf-8", "replace")))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*pairs, strict=True), (pa.binary(), pa.string()), strict=True)], ["h", "w"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(seed, TOTAL)
+        for b in batches:
+            out = []
+            for h, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(segmenter.cost) > HELD:
+                    segmenter = Segmenter(seed, TOTAL)
+                segmenter.learn({x["w"]: seed.get(x["w"], 0.0) + each * x["count"] for x in known})
+                out.append(" ".join(w for name in names(h.decode("utf-8", "replace")) for w in segmenter.split(name)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["h", "split"])
+
+    pairs = pages.select(utf8(host).alias("h")).distinct().mapInArrow(cut, "h binary, w string").join(counts, "w", "left")
+    known = pairs.groupBy("h").agg(F.collect_list(F.when(F.col("count").isNotNull(), F.struct("w", "count"))).alias("known"))
+    return known.mapInArrow(split, "h binary, split string")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -127,15 +170,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """
     ship(pages.sparkSession)
     host, path = parts(F.col("url"))
-    known = counts(pages)
+    split = segmented(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, held = Segmenter(known), Rules(rules)
+        held = Rules(rules)
         bayes = Bayes(TOKEN.findall(BLOCK_EXAMPLES), TOKEN.findall(ALLOW_EXAMPLES))
         for b in batches:
             out = []
-            for h, p in zip(*([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (1, 2)), strict=True):
-                words = [w for name in TOKEN.findall(h.rpartition(".")[0] or h) for w in segmenter.split(name)] + TOKEN.findall(p.lower())
+            for h, p, s in zip(*([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (1, 2)), b.column(3).to_pylist(), strict=True):
+                words = s.split() + TOKEN.findall(p.lower())
                 score = bayes.score(words)
                 rule, verdict = held.find(h, p) or (None, "block" if score > 0 else "allow")
                 out.append((rule, verdict, " ".join(words), score))
@@ -143,5 +186,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
             types = (pa.string(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2).cast(pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["page_id", "host", "path", "rule", "verdict", "words", "score"])
 
-    rows = pages.select("page_id", utf8(host).alias("h"), utf8(path).alias("p"))
+    rows = pages.select("page_id", utf8(host).alias("h"), utf8(path).alias("p")).join(split, "h", "left").select("page_id", "h", "p", "split")
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, words string, score double")

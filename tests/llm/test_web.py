@@ -42,6 +42,22 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), RULES).count() == 0
 
 
+def test_splits_do_not_depend_on_the_size_of_the_table(spark):
+    """A rare path word among 30,000 is known, and a table of the same rows many times over splits as the table does."""
+    hosts = ["zedhotsexcams.example.info", "sexpornxxxzed.example.info", "zedqua.example.info", "freecasinobonus.info", "b" * 300 + ".info"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = ["q" + "".join(letters[i // 26**k % 26] for k in range(4)) for i in range(30_000)]
+    paths = ["/".join(other[i : i + 300] * 2) for i in range(0, len(other), 300)] + ["zed/qua"]
+    rows = [(f"http://{h}/",) for h in hosts] + [(f"http://w.info/{p}",) for p in paths]
+    small = spark.createDataFrame(rows, "url string").select(F.lit(1).cast("long").alias("page_id"), "url")
+    large = small.crossJoin(spark.range(20).select("id")).drop("id")
+    got = [{(r.host, r.verdict, r.words) for r in urls.judge(x, RULES).where("path = '/'").collect()} for x in (small, large)]
+    assert got[0] == got[1]
+    by = {h: (v, w) for h, v, w in got[0]}
+    assert by[hosts[0]] == ("block", "zed hot sex cams example") and by[hosts[1]][0] == "block"
+    assert by[hosts[2]][1].startswith("zed qua") and len(by) == len(hosts)
+
+
 def test_segmenter_finds_the_cheapest_split():
     s = urls.Segmenter({"a": 5, "ab": 2, "abc": 1, "bc": 9, "c": 1})
 
