@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quarry.llm.common import Bounded, ship, slices, texts_of, utf8
 
 #: Words in a window, and from one window's start to the next; embedding sizes; states of each direction; attention's size.
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
 WORD_DIMS, CHAR_DIMS, STATES, ATTENTION = 12, 20, 12, 12
 NGRAMS, BUCKETS, VOCABULARY = (3, 4, 5), 1 << 14, 8_000
 #: Labelled documents that training reads at most (those whose ids hash lowest), and the longest of them in characters.

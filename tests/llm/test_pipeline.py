@@ -85,3 +85,9 @@ def test_pipeline(spark, folder):
             assert sorted(map(str, got)) == sorted(str(r.doc_id) for r in before.collect())
     out = corpus_pipeline.run(spark, base).collect()
     assert sorted(map(str, got)) == sorted(str(r.doc_id) for r in out if r.piece == 0)
+
+
+def test_half_a_window_of_words_lies_whole_in_some_window():
+    for n in (1, 24, 48, 49, 60, 73, 200, 501):
+        starts, k = toxicity.windows(n), min(n, toxicity.WINDOW // 2)
+        assert all(any(s <= at and at + k <= s + toxicity.WINDOW for s in starts) for at in range(n - k + 1))
