@@ -10,23 +10,23 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import Bounded, ship, slices, texts_of, utf8
+from quarry.llm.common import Numbers, Pool, ship, slices, texts_of, utf8
 
-NONE = np.int64(1) << 60
-#: Pieces longer than this go one by one, so that a batch of trees stays small.
-LONGEST_IN_STEP = 256
-#: Pieces whose trees are built at once.
-IN_STEP = 16_384
-#: Longer chunks are not kept in the cache.
-LONGEST_CACHED = 48
-CACHED = 250_000
+NONE = np.iinfo(np.int32).max
+#: Pieces longer than this go one by one; a leaf holds (rank, position) in 31 bits, so a position there has 8 of them.
+LONGEST_IN_STEP, PLACE_BITS = 256, 8
+#: Leaves of the trees that are built at once.
+IN_STEP = 1 << 17
+#: Longer chunks are not kept in the cache; entries, and ids of all of them, that empty it.
+LONGEST_CACHED, CACHED, IDS_CACHED = 48, 400_000, 8_000_000
 #: White space besides space and line feed.
 RARE = "".join(chr(i) for i in range(0x3001) if regex.match(r"\s", chr(i)) and chr(i) not in " \n")
 #: In front of a text's first chunk, which has no space before it; two lone surrogates, which no decoded text holds.
@@ -39,76 +39,106 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = [b""] * (max(self.of.values()) + 1)
+        if max(self.of.values()) >= 1 << (31 - PLACE_BITS):
+            raise ValueError("a rank does not fit beside a position")
+        tokens = [b""] * (max(self.of.values()) + 1)
         for token, rank in self.of.items():
-            self.tokens[rank] = token
-        self.byte = np.array([self.of[bytes([i])] for i in range(256)], dtype=np.int64)
+            tokens[rank] = token
+        self.bytes_of = Pool.of(list(range(len(tokens))), np.array(list(map(len, tokens))), np.frombuffer(b"".join(tokens), dtype=np.uint8))
+        self.byte = np.array([self.of[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pair = {}
         for token, rank in self.of.items():
             for i in range(1, len(token)):
                 if (a := self.of.get(token[:i])) is not None and (b := self.of.get(token[i:])) is not None:
                     self.pair[a << 32 | b] = rank
-        self.keys = np.array(sorted(self.pair), dtype=np.int64)
-        self.values = np.array([self.pair[k] for k in self.keys.tolist()], dtype=np.int64)
+        # an open hash table, at most a quarter full
+        bits = max(4, (4 * len(self.pair)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        left, ranks = np.array(list(self.pair), dtype=np.int64), np.array(list(self.pair.values()), dtype=np.int32)
+        at = self._slots(left)
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]], self.values[at[free]] = left[free], ranks[free]
+            lost = self.keys[at] != left
+            left, ranks, at = left[lost], ranks[lost], (at[lost] + 1) & self.mask
+        two = np.arange(256)
+        self.first = self.ranks(self.byte[np.repeat(two, 256)], self.byte[np.tile(two, 256)])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of pairs, NONE where a pair is no token; an id below 0 has no pair."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.values[at], NONE)
+        key = left.astype(np.int64) << 32 | right
+        at = self._slots(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.values[at], NONE)
+        rest = np.flatnonzero((held != key) & (held != -1) & (key >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            held = self.keys[at[rest]]
+            hit = held == key[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (held != -1)]
+        return out
 
 
-def merge_in_step(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
-    """Merge pieces of like length; each loop does one merge in every piece that still has a pair."""
+def merge_in_step(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each piece has, and all of them; each loop does one merge in every piece that still has a pair."""
     n, longest = len(pieces), max(map(len, pieces))
-    width = 1 << max(1, (longest - 1).bit_length())
-    raw = np.zeros((n, width), dtype=np.uint8)
+    depth = max(1, (longest - 1).bit_length())
+    width = 1 << depth
+    raw = np.zeros((n, width), dtype=np.int64)
     lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
-    inside = np.arange(width) < lengths[:, None]
+    place = np.arange(width)
+    inside = place < lengths[:, None]
     raw[inside] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    ids = np.full((n, width + 1), -1, dtype=np.int64)  # the last column stands for "no neighbour"
+    ids = np.full((n, width + 1), -1, dtype=np.int32)  # the last column stands for "no neighbour"
     ids[:, :width] = np.where(inside, ranks.byte[raw], -1)
     after = np.tile(np.arange(1, width + 2), (n, 1))
     after[:, width] = width
     before = np.tile(np.arange(-1, width), (n, 1))
     before[:, 0] = width
-    place = np.arange(width, dtype=np.int64)
-    tree = np.full((n, 2 * width), NONE, dtype=np.int64)
-    first = ranks.ranks(ids[:, :width], ids[:, 1:])
-    tree[:, width:] = np.where(first < NONE, first << 32 | place, NONE)
+    tree = np.full((n, 2 * width), NONE, dtype=np.int32)
+    first = ranks.first[raw[:, :-1] << 8 | raw[:, 1:]]
+    tree[:, width:-1] = np.where((first < NONE) & inside[:, 1:], first << PLACE_BITS | place[:-1].astype(np.int32), NONE)
     for i in range(width - 1, 0, -1):
         np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
     ids_, after_, before_, tree_ = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
     rows = np.flatnonzero(tree[:, 1] < NONE)
-    while len(rows):
-        root = tree_[rows * (2 * width) + 1]
-        at, token, base = root & 0xFFFFFFFF, root >> 32, rows * (width + 1)
-        swallowed = after_[base + at]
+    top, base = rows * (2 * width), rows * (width + 1)
+    while len(top):
+        root = tree_[top + 1]
+        at, token = (root & ((1 << PLACE_BITS) - 1)).astype(np.int64), root >> PLACE_BITS
+        here = base + at
+        swallowed = after_[here]
         following = np.minimum(after_[base + swallowed], width)
-        ids_[base + at] = token
+        ids_[here] = token
         ids_[base + swallowed] = -1
-        after_[base + at] = following
+        after_[here] = following
         before_[base + following] = at
-        preceding = before_[base + at]
+        preceding = before_[here]
         ids_[base + width] = -1
-        own = ranks.ranks(token, ids_[base + following])
-        left = ranks.ranks(ids_[base + preceding], token)
-        for leaf, rank in ((swallowed, None), (at, own), (preceding, left)):
-            value = NONE if rank is None else np.where(rank < NONE, rank << 32 | leaf, NONE)
-            live, r = (slice(None), rows) if rank is not left else ((ok := preceding < width), rows[ok])
-            top, node = r * (2 * width), width + leaf[live]
-            tree_[top + node] = value if rank is None else value[live]
-            for _ in range(width.bit_length() - 1):
-                node >>= 1
-                tree_[top + node] = np.minimum(tree_[top + 2 * node], tree_[top + 2 * node + 1])
-        rows = rows[tree_[rows * (2 * width) + 1] < NONE]
-    ids = ids[:, :width]
-    flat, counts = ids[ids >= 0].tolist(), (ids >= 0).sum(1).tolist()
-    out, k = [], 0
-    for c in counts:
-        out.append(flat[k : k + c])
-        k += c
-    return out
+        both = ranks.ranks(np.concatenate([token, ids_[base + preceding]]), np.concatenate([ids_[base + following], token]))
+        own, left = both[: len(at)], both[len(at) :]
+        preceding = np.where(preceding < width, preceding, at)
+        # the leaves of the pair, of its live neighbour to the left and of what it swallowed, then their paths to the root
+        tree_[top + width + preceding] = np.where(left < NONE, left << PLACE_BITS | preceding.astype(np.int32), NONE)
+        tree_[top + width + at] = np.where(own < NONE, own << PLACE_BITS | at.astype(np.int32), NONE)
+        tree_[top + width + swallowed] = NONE
+        node, tops = np.concatenate([at, preceding, swallowed]) + width, np.concatenate([top, top, top])
+        for _ in range(depth):
+            node >>= 1
+            up = tops + node
+            down = up + node
+            tree_[up] = np.minimum(tree_[down], tree_[down + 1])
+        live = tree_[top + 1] < NONE
+        if not live.all():
+            top, base = top[live], base[live]
+    live = ids[:, :width] >= 0
+    return live.sum(1), ids[:, :width][live]
 
 
 def merge_alone(piece: bytes, ranks: Ranks) -> list[int]:
@@ -116,7 +146,7 @@ def merge_alone(piece: bytes, ranks: Ranks) -> list[int]:
     n = len(piece)
     width = 1 << max(1, (n - 1).bit_length())
     ids = ranks.byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
-    none, pair = int(NONE), ranks.pair.get
+    none, pair = 1 << 62, ranks.pair.get
     tree = [none] * (2 * width)
     for i in range(n - 1):
         if (r := pair(ids[i] << 32 | ids[i + 1])) is not None:
@@ -150,34 +180,46 @@ def merge_alone(piece: bytes, ranks: Ranks) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge(pieces: list[bytes], ranks: Ranks) -> dict[bytes, list[int]]:
-    """The ids of each piece; a piece that is a token is that token."""
-    out, by_width = {}, {}
-    whole = ranks.of.get
-    for p in pieces:
-        if (token := whole(p)) is not None:
-            out[p] = [token]
-        elif len(p) > LONGEST_IN_STEP:
-            out[p] = merge_alone(p, ranks)
-        else:
-            by_width.setdefault(max(2, (len(p) - 1).bit_length()), []).append(p)
-    for bits, some in by_width.items():
-        for i in range(0, len(some), step := max(64, IN_STEP >> max(0, bits - 3))):
-            out.update(zip(some[i : i + step], merge_in_step(some[i : i + step], ranks), strict=True))
-    return out
+def merge(pieces: list[bytes], ranks: Ranks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of some pieces, how many ids each of them has, and all of these; a piece that is a token is that token."""
+    whole = np.fromiter((ranks.of.get(p, -1) for p in pieces), dtype=np.int32, count=len(pieces))
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    known = np.flatnonzero(whole >= 0)
+    yield known, np.ones(len(known), np.int64), whole[known]
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 2)))).astype(np.int64)
+    bits[whole >= 0] = 0
+    bits[(whole < 0) & (lengths > LONGEST_IN_STEP)] = 99
+    for b in np.unique(bits[bits > 0]).tolist():
+        some = np.flatnonzero(bits == b)
+        if b == 99:
+            for i in some.tolist():
+                ids = np.array(merge_alone(pieces[i], ranks), dtype=np.int32)
+                yield np.array([i]), np.array([len(ids)]), ids
+            continue
+        step = max(64, IN_STEP >> b)
+        for i in range(0, len(some), step):
+            yield some[i : i + step], *merge_in_step([pieces[k] for k in some[i : i + step].tolist()], ranks)
 
 
 class Encoder:
     """Encodes texts with one rank file and one pattern.
 
     A text is cut before spaces, where every piece that the pattern matches lies in one chunk, whatever stands around it: any
-    space will do unless white space stands on both sides of it. Chunks repeat, so their ids are kept.
+    space will do unless white space stands on both sides of it. That holds for patterns whose matches take a space only as
+    their first character or as part of white space, as those of byte-level vocabularies do; an Encoder refuses others that it
+    can tell. Chunks repeat and so do their pieces, so the ids of both are kept.
     """
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = Ranks(path), regex.compile(pattern)
+        if any(" " in m.strip(" ") or (m.endswith(" ") and m.strip()) for m in self.pattern.findall("a b, c. 1 2 ' s it's d e: f")):
+            raise ValueError("the pattern's matches hold spaces inside")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.cache = Bounded(CACHED)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.chunk, self.chunk_ids = Numbers(), Pool(np.int32)
+        self.piece, self.piece_ids = Numbers(), Pool(np.int32)
 
     def chunks(self, text: str) -> list[str]:
         """The chunks without the space before each but the first, which gets a mark in front."""
@@ -186,26 +228,41 @@ class Encoder:
         parts[0] = FIRST + parts[0]
         return parts
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known, parts = self.cache, [self.chunks(x) if x else [] for x in texts]
-        known.room()
-        new = list(set(chain.from_iterable(parts)).difference(known) if len(known) < 1000 else filterfalse(known.__contains__, set(chain.from_iterable(parts))))
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin (and the last ends), and all ids."""
+        if max(len(self.chunk), len(self.piece)) > CACHED or max(self.chunk_ids.used, self.piece_ids.used) > IDS_CACHED:
+            self._empty()
+        parts = [self.chunks(x) if x else [] for x in texts]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        numbers = np.fromiter(map(self.chunk.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(sizes.sum()))
+        self._learn(*self.chunk.fresh())
+        lengths, ids = self.chunk_ids.take(numbers)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return ends[np.concatenate([[0], np.cumsum(sizes)])], ids
+
+    def _learn(self, chunks: list[str], numbers: np.ndarray) -> None:
+        """The ids of chunks that are new."""
         find = self.pattern.findall
-        pieces = [find(c[len(FIRST) :] if c.startswith(FIRST) else " " + c) for c in new]
-        every = list(set(chain.from_iterable(pieces)))
-        as_bytes = [x.encode() for x in every]
-        merged = merge(as_bytes, self.ranks)
-        merged = {x: merged[y] for x, y in zip(every, as_bytes, strict=True)}
-        get = merged.__getitem__
-        known.update((c, tuple(chain.from_iterable(map(get, p)))) for c, p in zip(new, pieces, strict=True))
-        out = [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
-        for c in new:
-            if len(c) > LONGEST_CACHED or c.startswith(FIRST):
-                del known[c]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.ranks.tokens.__getitem__, ids))
+        pieces = [find(c[len(FIRST) :] if c.startswith(FIRST) else " " + c) for c in chunks]
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        of = np.fromiter(map(self.piece.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(sizes.sum()))
+        new, at = self.piece.fresh()
+        for some, lengths, ids in merge([x.encode() for x in new], self.ranks):
+            self.piece_ids.put(at[some], lengths, ids)
+        lengths, ids = self.piece_ids.take(of)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        self.chunk_ids.put(numbers, np.diff(ends), ids)
+        for known, some in ((self.chunk, chunks), (self.piece, new)):
+            for c in some:
+                if len(c) > LONGEST_CACHED or c.startswith(FIRST):
+                    del known[c]
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each run's bytes begin (and the last ends), and all bytes; an id out of range fails."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.ranks.bytes_of.lengths):
+            raise ValueError("an id is out of range")
+        lengths, data = self.ranks.bytes_of.take(ids)
+        return np.concatenate([[0], np.cumsum(lengths)])[offsets], data
 
 
 @lru_cache(maxsize=2)
@@ -213,6 +270,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """doc_id, ids array<int>, and, if asked for, decoded binary: the bytes that the ids stand for.
 
@@ -225,12 +286,10 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
         e = encoder(path, pattern)
         for whole in batches:
             for batch in slices(whole):
-                ids = e.encode(texts_of(batch))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=offsets[-1])
-                out = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                offsets, ids = e.encode(texts_of(batch))
+                out = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
                 if decoded:
-                    out.append(pa.array([e.decode(x) for x in ids], pa.binary()))
+                    out.append(binary(*e.decode(offsets, ids)))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
 
     return docs.select("doc_id", utf8("text").alias("t")).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
@@ -243,6 +302,9 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
+            runs = pc.fill_null(batch.column(1), [])
+            ids = runs.flatten().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary(*e.decode(offsets, ids))], ["doc_id", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

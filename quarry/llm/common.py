@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,10 +96,18 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [x.decode("utf-8", "replace") for x in batch.column(column).to_pylist()]
 
 
+#: Rows without an id are counted from here on: beyond all real ids.
+NO_ID = (1 << 63) - (1 << 40)
+
+
+def id_below(most: int, name: str) -> Column:
+    """An id column; an id from `most` on fails the job."""
+    c = F.col(name).cast("long")
+    return F.when(c.isNull() | (c < most), c).otherwise(F.raise_error(F.concat(F.lit(f"{name} must lie below {most}: "), c.cast("string"))).cast("long")).alias(name)
+
+
 def as_binary(a: pa.Array) -> tuple:
     """The offsets and the bytes of a binary array."""
-    import numpy as np
-
     a = a.cast(pa.large_binary())
     offsets = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
     data = np.frombuffer(a.buffers()[2], dtype=np.uint8) if a.buffers()[2] is not None and a.buffers()[2].size else np.zeros(0, np.uint8)
@@ -117,5 +126,61 @@ class Bounded(dict):
             self.clear()
 
 
+class Numbers(dict):
+    """Numbers of keys by the order in which they come; looking up a new key gives it the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.next, self.first, self.new = 0, 0, []
+
+    def __missing__(self, key):
+        self[key] = n = self.next
+        self.next = n + 1
+        self.new.append(key)
+        return n
+
+    def fresh(self) -> tuple[list, np.ndarray]:
+        """The keys that have come since the last call, and their numbers."""
+        new, first = self.new, self.first
+        self.new, self.first = [], self.next
+        return new, np.arange(first, self.next)
+
+
+class Pool:
+    """Runs of values by number, in one growing array."""
+
+    def __init__(self, dtype: type):
+        self.values, self.used = np.zeros(1 << 12, dtype), 0
+        self.starts, self.lengths = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    @classmethod
+    def of(cls, numbers: list[int], lengths: np.ndarray, values: np.ndarray) -> Pool:
+        out = cls(values.dtype)
+        out.put(np.array(numbers), lengths, values)
+        out.starts, out.lengths = out.starts[: len(numbers)], out.lengths[: len(numbers)]
+        return out
+
+    def put(self, numbers: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> None:
+        if not len(numbers):
+            return
+        if (n := int(numbers.max()) + 1) > len(self.starts):
+            more = np.zeros(2 * n - len(self.starts), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
+        end = self.used + len(values)
+        if end > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.zeros(2 * end - self.used, self.values.dtype)])
+        self.values[self.used : end] = values
+        self.starts[numbers], self.lengths[numbers] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used = end
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the runs of these numbers, and their values one after the other."""
+        lengths = self.lengths[numbers]
+        shift = self.starts[numbers] - (np.cumsum(lengths) - lengths)
+        at = np.repeat(shift, lengths)
+        at += np.arange(len(at))
+        return lengths, self.values[at]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

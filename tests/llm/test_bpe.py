@@ -4,7 +4,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
+import pytest
 import regex
 
 from quarry.llm import bpe, queries
@@ -46,8 +48,9 @@ def texts():
 def test_merges_in_step_and_alone():
     rnd, held = random.Random(2), bpe.Ranks(PATH)
     pieces = [bytes(rnd.choice(b"abehilnorst \xc3\xa9") for _ in range(rnd.randint(2, 64))) for _ in range(300)]
-    want = [[x for x in bpe.merge_alone(p, held)] for p in pieces]
-    assert bpe.merge_in_step(pieces, held) == want
+    want = [bpe.merge_alone(p, held) for p in pieces]
+    lengths, ids = bpe.merge_in_step(pieces, held)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
     of = ranks()
     for p, ids in zip(pieces, want, strict=True):
         parts = [p[i : i + 1] for i in range(len(p))]
@@ -59,7 +62,22 @@ def test_merges_in_step_and_alone():
 def test_chunks_that_are_kept_change_nothing():
     of, e = ranks(), bpe.Encoder(PATH, PATTERN)
     for _ in range(2):
-        assert e.encode(texts()) == [brute(t, of) for t in texts()]
+        offsets, ids = e.encode(texts())
+        assert [x.tolist() for x in np.split(ids, offsets[1:-1])] == [brute(t, of) for t in texts()]
+        e._empty()
+    with pytest.raises(ValueError, match="spaces inside"):
+        bpe.Encoder(PATH, r"[^,]+,?")
+
+
+def test_decode(spark):
+    some = [t for t in texts() if t][:200] + ["a" * 1_000_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(some)] + [(None, None, "x")], "doc_id long, text string, decoded string")
+    tokens = bpe.encode(df, PATH, PATTERN)
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(tokens.unionByName(spark.createDataFrame([(-1, None)], tokens.schema)), PATH, PATTERN).collect()}
+    assert got == {i: t.encode() for i, t in enumerate(some)} | {None: b"", -1: b""}
+    assert bpe.encode(df.limit(0), PATH, PATTERN).count() == 0
+    with pytest.raises(Exception, match="out of range"):
+        bpe.decode(spark.createDataFrame([(1, [60_000])], tokens.schema), PATH, PATTERN).collect()
 
 
 def test_op1(spark, tmp_path):
