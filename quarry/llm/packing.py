@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import Bounded, keep, ship, slices, texts_of, utf8
+from quarry.llm.common import Numbers, Pool, keep, ship, slices, texts_of, utf8
 
 #: A length is large if it is more than a share of a sequence. Large lengths are cut into groups of equal cardinality; a length
 #: that would fill a group has one of its own. No share is best for all histograms: a low one lets more lengths share a
@@ -34,8 +33,8 @@ from quarry.llm.common import Bounded, keep, ship, slices, texts_of, utf8
 #: with the fewest sequences is taken; one within CLOSE of the least number that the tokens need ends the search.
 TRIES = ((0.45, 48), (1 / 5, 48), (1 / 10, 48), (1 / 5, 128))
 CLOSE = 0.0005
-#: Entries of a worker's caches: chunks between white space, and the words in them, which cost far more to encode.
-CHUNKS_CACHED, WORDS_CACHED, LONGEST_CACHED = 400_000, 700_000, 48
+#: Chunks between white space, or words in them, and ids of all of them, that empty a worker's cache; longer ones are not kept.
+CACHED, IDS_CACHED, LONGEST_CACHED = 700_000, 8_000_000, 48
 #: Pieces of one length among which places are dealt in one task, about.
 RANKED_TOGETHER = 50_000
 
@@ -43,59 +42,105 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x200-9a-z]+")
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+#: Keys that no text holds: for the id at each document's end, and in front of what the library gets as it is.
+END, WHOLE = "\ud800", "\ud801"
+#: Words that the library gets in one text, with spaces between.
+JOINED = 256
 
 
 class Tokens:
     """Ids by the tokenizers library, word by word: its pre-tokenizer never looks over white space, so words can be kept.
 
-    Special strings in a text are ordinary text.
+    A text in which the library may see an added token, such as its end of text, is given to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.chunks, self.words = Bounded(CHUNKS_CACHED), Bounded(WORDS_CACHED)
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self._empty()
+
+    def _empty(self) -> None:
+        self.chunk, self.chunk_ids = Numbers(), Pool(np.uint32)
+        self.word, self.word_ids = Numbers(), Pool(np.uint32)
+        self.chunk_ids.put(np.array([self.chunk[END]]), np.ones(1, np.int64), np.array([self.end], np.uint32))
+        self.chunk.fresh()
 
     def _words(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            return ASCII_WORD.findall(chunk.lower())
-        if "\u0130" in chunk or "\u03a3" in chunk:  # Python's lower case of these is not the library's
+            low = chunk.lower()
+            return [low] if low.isalpha() else ASCII_WORD.findall(low)
+        if chunk[0] == WHOLE:
             return [chunk]
-        return WORD.findall(unicodedata.normalize("NFC", chunk).lower())
+        if "\u0130" in chunk or "\u03a3" in chunk:  # Python's lower case of these is not the library's
+            return [WHOLE + chunk]
+        low = unicodedata.normalize("NFC", chunk).lower()
+        return [low] if low.isalpha() else WORD.findall(low)
 
     def _cut(self, text: str) -> list[str]:
+        low = text.lower()
+        if any(t in low for t in self.added):
+            return [WHOLE + text]
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return regex.split(r"\s+", text)
-        return text.lower().split() if text.isascii() else text.split()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self.chunks.room()
-        self.words.room()
-        parts = [self._cut(x) for x in texts]
-        new = list(filterfalse(self.chunks.__contains__, set(chain.from_iterable(parts))))
-        words = [self._words(c) for c in new]
-        fresh = list(filterfalse(self.words.__contains__, set(chain.from_iterable(words))))
-        for i in range(0, len(fresh), 20_000):
-            for w, e in zip(fresh[i : i + 20_000], self.tokenizer.encode_batch_fast(fresh[i : i + 20_000], add_special_tokens=False), strict=True):
-                self.words[w] = pack_ids(e.ids)
-        get = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(get, w))) for c, w in zip(new, words, strict=True))
-        out = [np.frombuffer(b"".join(map(self.chunks.__getitem__, p)), dtype="<u4") for p in parts]
-        for known, some in ((self.chunks, new), (self.words, fresh)):
+            return [c for c in regex.split(r"\s+", text) if c]
+        return low.split() if text.isascii() else text.split()
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them.
+
+        The library gets many words as one text; a word's last id is one that ends words, which tells them apart again.
+        """
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) == len(words):
+            return np.diff(ends, prepend=-1), ids
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return lengths, np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(lengths.sum()))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin (and the last ends), and all ids; each text's are followed by `end`."""
+        if max(len(self.chunk), len(self.word)) > CACHED or max(self.chunk_ids.used, self.word_ids.used) > IDS_CACHED:
+            self._empty()
+        parts = [[*self._cut(x), END] for x in texts]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        numbers = np.fromiter(map(self.chunk.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=int(sizes.sum()))
+        self._learn(*self.chunk.fresh())
+        lengths, ids = self.chunk_ids.take(numbers)
+        return np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])], ids
+
+    def _learn(self, chunks: list[str], numbers: np.ndarray) -> None:
+        """The ids of chunks that are new."""
+        words = [self._words(c) for c in chunks]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        of = np.fromiter(map(self.word.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        new, at = self.word.fresh()
+        whole = {i for i, w in enumerate(new) if w[0] == WHOLE}
+        for i in whole:
+            ids = self.tokenizer.encode(new[i][1:], add_special_tokens=False).ids
+            self.word_ids.put(at[i : i + 1], np.array([len(ids)]), np.array(ids, np.uint32))
+        plain = np.array([i for i in range(len(new)) if i not in whole], dtype=np.int64)
+        for i in range(0, len(plain), 32 * JOINED):
+            some = plain[i : i + 32 * JOINED]
+            self.word_ids.put(at[some], *self._ids([new[k] for k in some.tolist()]))
+        lengths, ids = self.word_ids.take(of)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
+        self.chunk_ids.put(numbers, np.diff(ends), ids)
+        for known, some in ((self.chunk, chunks), (self.word, new)):
             for c in some:
                 if len(c) > LONGEST_CACHED:
                     del known[c]
-        return out
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
+def tokens(path: str, end: int) -> Tokens:
+    return Tokens(path, end)
 
 
 def pieces(docs: DataFrame, path: str, size: int, end: int, ids: bool = False) -> DataFrame:
@@ -103,18 +148,23 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, ids: bool = False) -
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokens(path)
+        t = tokens(path, end)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + ids]
         for whole in batches:
             for batch in slices(whole):
-                rows = []
-                for d, x in zip(batch.column(0).to_pylist(), t.encode(texts_of(batch)), strict=True):
-                    x = np.append(x, np.uint32(end)).astype("<u4")
-                    for k, at in enumerate(range(0, len(x), size)):
-                        p = x[at : at + size]
-                        rows.append((d, k, at, len(p), zlib.crc32(p.tobytes()), p.astype(np.int32))[: 5 + ids])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                ends, flat = t.encode(texts_of(batch))
+                n = np.diff(ends)
+                count = -(-n // size)
+                doc = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * size
+                length = np.minimum(size, n[doc] - start)
+                at, raw = ends[:-1][doc] + start, memoryview(flat.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+                out = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return docs.select("doc_id", utf8("text").alias("t")).mapInArrow(run, schema)

@@ -68,13 +68,13 @@ def test_plan_of_few_lengths_that_fill_sequences_together():
 
 def test_pack(spark):
     rnd = random.Random(7)
-    texts = ["".join(rnd.choice(["the ", "Été", "ﬁ", "İ", "'s", "9", "漢", "\x1c", "́", "é", " ", "\n", " ", "###", "<|endoftext|>", "Straße ", "Σ", "ς"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
-    texts += [None, "", "word " * 9000, "x" * 3000, "same text"] + ["same text"] * 40
+    texts = ["".join(rnd.choice(["the ", "Été", "ﬁ", "İ", "'s", "9", "漢", "\x1c", "́", "é", " ", "\n", " ", "###", "<|endoftext|>", "<|StartOfText|>", "Straße ", "Σ", "ς"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    texts += [t.replace("<|", "") for t in texts]
+    texts += ["a <|endoftext|> b", None, "", "word " * 9000, "x" * 3000, "same text"] + ["same text"] * 40
     rows = [(i, t, 1, 2) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, rows[-1], (None, "no id", 1, 2)], "doc_id long, text string, length int, rank int")
     out = packing.pack(docs, PATH, 4096, 1).collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     at = {}
     for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
