@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -19,18 +21,49 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's working tables lie."""
+    return f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
+_scratch = threading.local()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_scratch, "open", [])[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables that are named inside go at the end; what is still to be read must be kept under a path from outside."""
+    _scratch.open = [*getattr(_scratch, "open", []), []]
+    try:
+        yield
+    finally:
+        *_scratch.open, paths = _scratch.open
+        for path in paths:
+            drop(spark, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all working tables of this application; results that have not been read yet are lost."""
+    drop(spark, own_dir(spark))
 
 
 def keep(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -65,7 +98,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    path = fresh_path(spark, "code") + "/quarry_code.zip"
+    path = f"{shared_dir(spark)}/quarry/code-{uuid.uuid4().hex}/quarry_code.zip"
     fs, p = hadoop_fs(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(data.getvalue()))
@@ -74,6 +107,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that a table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def named(name: str) -> Column:
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def utf8(c: str | Column) -> Column:
     """A text column as its bytes, null as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("binary")
