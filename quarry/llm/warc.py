@@ -1,7 +1,8 @@
 """Web archives in Zstandard: a dictionary in a leading skippable frame, then one frame for each record.
 
 Archives are plain files that Spark writes and reads, so they may lie in any store: a task's archive is the rows of a text file
-whose separator is an empty skippable frame.
+whose separator is an empty skippable frame. A writer's file system must show a folder's files only when the job is done, as Spark's
+committers see to.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ship, utf8
+from quarry.llm.common import keep, ship, utf8
 
 #: Skippable frames: the one that holds a dictionary, and an empty one, whose bytes are all ASCII.
 DICTIONARY_MAGIC, SEPARATOR = b"\x5d\x2a\x4d\x18", "P*M\x18\0\0\0\0"
@@ -25,6 +26,10 @@ DICTIONARY_BYTES, TRAINED_ON = 16_384, 400
 LEVEL = 3
 #: Records with equal payloads of so many bytes revisit the one with the smallest page_id.
 LEAST_SHARED = 100
+#: Payload bytes of an archive, about; parts into which the rows of a payload that others share are dealt.
+ARCHIVE, SALTS = 256 << 20, 16
+#: Payload bytes for which an archive more is worth a task of its own, up to the session's number of shuffle partitions.
+LEAST_ARCHIVE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -56,18 +61,36 @@ def record(page_id: int | None, url: str, payload: bytes, size: int, digest: str
     return "\r\n".join(head).encode() + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+def decided(pages: DataFrame) -> tuple[DataFrame, int]:
+    """page_id, digest, first of the rows whose payload others share, and the bytes of all payloads.
+
+    Only ids, digests and lengths are exchanged. The rows of a digest are dealt into SALTS parts, as many may share it.
+    """
+    payload = utf8("html")
+    thin = keep(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n")), "digests")
+    large = thin.where(F.col("n") >= LEAST_SHARED).select("page_id", "digest").groupBy("page_id", "digest").count()
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("count").alias("copies")).where("copies > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    parts = shared.select("digest", "first", salts.alias("salt"))
+    told = large.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(parts, ["digest", "salt"]).select("page_id", "digest", "first")
+    return told, thin.agg(F.sum("n")).first()[0] or 0
+
+
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of all rows of page_id, url, html under `path`, one for each task.
+    """Archives of all rows of page_id, url, html under `path`, each of about ARCHIVE payload bytes (or one longer record).
 
     Null html is an empty payload. Of records with equal payloads of LEAST_SHARED bytes or more, those with the smallest
     page_id are responses, the others revisit it; a row without an id revisits, unless no row of its payload has one. Repeated
-    rows stay. Other columns are left out.
+    rows stay. Other columns are left out. Rows are dealt by id and digest, so that equal payloads do not meet in one task.
     """
     ship(pages.sparkSession)
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), utf8("html").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    shared = rows.where(F.length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.join(shared, "digest", "left").select("page_id", utf8("url").alias("url"), "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    told, size = decided(pages)
+    # a null id as a text of its own, so that one exchange serves the archives' sizes and the join
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    rows = pages.select(key, "page_id", utf8("url").alias("url"), utf8("html").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    few = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_ARCHIVE))
+    rows = rows.repartition(max(1, few, -(-size // ARCHIVE)), "key", "digest")
+    told = rows.join(told.select(key, "digest", "first"), ["key", "digest"], "left").select("page_id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records(b: pa.RecordBatch) -> list[bytes]:
@@ -152,7 +175,7 @@ def read_archives(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (empty for a revisit) of all records under `path`.
 
     A record that breaks the format, or whose payload does not match its length or digest, fails the job. An archive is
-    held whole by the task that reads it; it is as large as the partition that wrote it.
+    held whole by the task that reads it; `write` bounds them.
     """
     ship(spark)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
