@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_binary, keep, ship, slices, utf8
+from quarry.llm.common import NO_ID, as_binary, fresh_path, id_below, keep, scratch, ship, slices, utf8
 from quarry.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -29,8 +29,8 @@ LOWER[65:91] += 32
 BLOCK = 512
 #: A pair's estimate may fall short of the threshold by so many standard deviations before it is dropped unverified.
 DEVIATIONS = 4.5
-#: Where a document without an id is counted: beyond all real ids.
-NO_ID = (1 << 63) - (1 << 40)
+#: Parts into which the members of a bucket are dealt where they meet what is known of it; buckets of up to WIDE have one.
+SALTS, WIDE = 64, 512
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -187,17 +187,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("__a").cast("long") + F.size("__b") - shared)).select("u", "v")
 
 
+def salt(n: Column | int) -> Column:
+    """A node's part of a bucket that has n members."""
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")
+    return own if isinstance(n, int) else F.when(n > WIDE, own).otherwise(0)
+
+
+def salted(known: DataFrame) -> DataFrame:
+    """A row for each part of a bucket, from one for each bucket with its number of members n."""
+    return known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > WIDE, F.lit(SALTS - 1)).otherwise(0)))).drop("n")
+
+
+def bucketed(banded: DataFrame) -> DataFrame:
+    """bucket, node, least (of the bucket), n (of its members), from bucket and node; buckets of one member are left out.
+
+    Members of a bucket are counted by part first, and what is known of the bucket goes back to its parts: no task gets all
+    members of a bucket.
+    """
+    dealt = banded.withColumn("salt", salt(SALTS))
+    parts = dealt.groupBy("bucket", "salt").agg(F.min("node").alias("least"), F.max("node").alias("greatest"), F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    known = whole.where("least < greatest").select("bucket", "least", "n", F.explode("salts").alias("salt"))
+    return dealt.join(known.hint("merge"), ["bucket", "salt"]).select("bucket", "node", "least", "n")
+
+
 def meetings(rows: DataFrame) -> DataFrame:
-    """most, node, label, blocks, parts, from bucket, node, label of the members of open buckets.
+    """most, node, label, blocks, parts, from bucket, node, label, n (of its members), salt of the members of open buckets.
 
     The nodes of all buckets in which a label is the most frequent one meet once, however many buckets they share. All of them
     are dealt into blocks of about BLOCK; those of other labels also visit every block, in parts of about BLOCK.
     """
-    labels = rows.groupBy("bucket", "label").count()
-    most = labels.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-    met = keep(rows.join(most, "bucket").select("most", "node", "label").distinct(), "met")
+    labels = rows.groupBy("bucket", "label", "n").count()
+    most = labels.groupBy("bucket", "n").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
+    met = keep(rows.drop("n").join(salted(most).hint("merge"), ["bucket", "salt"]).select("most", "node", "label").distinct(), "met")
     sizes = met.groupBy("most").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum((F.col("label") != F.col("most")).cast("long")) / BLOCK).alias("parts"))
-    return met.join(sizes, "most")
+    every = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return met.withColumn("salt", salt(SALTS)).join(every.hint("merge"), ["most", "salt"]).drop("salt")
 
 
 def links_between(met: DataFrame, signed: DataFrame, hashes: int, percent: int) -> DataFrame:
@@ -245,34 +270,38 @@ def duplicates(docs: DataFrame, words: int = 5, percent: int = 80, hashes: int =
 
     A pair at the threshold is missed with probability (1 - t^rows)^(hashes / rows): 5e-8 as set here. Null and blank texts have
     no shingles and are their own component. A row that repeats an id stays, with its own text's component. A row without an id
-    gets the smallest id it is linked to, else none, and is kept only if it has none. Ids must lie below NO_ID. Columns
+    gets the smallest id it is linked to, else none, and is kept only if it has none. An id from NO_ID on is an error. Columns
     besides doc_id and text are left out.
     """
+    docs = docs.select(id_below(NO_ID, "doc_id"), "text")
     drawn = keep(sketch(docs, words, hashes, rows), "sketch")
     first = drawn.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("text_hash").alias("any_text"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     node = F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_hash"), 25))
     classes = keep(first.withColumn("node", node).withColumn("text_hash", F.coalesce("text_hash", "any_text")).drop("any_text"), "classes")
+    path = fresh_path(docs.sparkSession, "joined")
+    with scratch(docs.sparkSession):
+        joined = keep(components(_links(docs, classes, words, percent, hashes)), "", path)
+    of = classes.select("set_hash", "node").join(joined, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    out = drawn.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of, "set_hash", "left")
+    component = F.when(F.col("component") < NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
 
+
+def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
+    """u, v: links between classes that span the same components as all links do."""
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("greatest"), F.count("*").alias("n")).where("least < greatest")
-    members = keep(banded.join(buckets, "bucket"), "members")
+    members = keep(bucketed(banded), "members")
     stars = keep(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "stars")
     involved = stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = keep(sets_of(docs, involved.join(classes, "node").select("node", "doc_id", "text_hash"), words), "sets")
     links = keep(verified(stars, sets, percent), "links")
 
     label = components(links).select("node", F.col("component").alias("label"))
-    open_ = members.where("n > 2").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    still = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    met = meetings(open_.join(still, "bucket"))
+    open_ = members.where("n > 2").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    still = open_.groupBy("bucket", "n").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket", "n")
+    met = meetings(open_.withColumn("salt", salt(F.col("n"))).join(salted(still).hint("merge"), ["bucket", "salt"]))
     signed = classes.select("node", "signature").join(sets, "node")
-    links = keep(links.unionByName(links_between(met, signed, hashes, percent)), "links")
-    joined = components(links)
-
-    of = classes.select("set_hash", "node").join(joined, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    out = drawn.select("doc_id", "text_hash", "n_shingles", "set_hash").join(of, "set_hash", "left")
-    component = F.when(F.col("component") < NO_ID, F.col("component")).when(F.col("component").isNull(), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+    return keep(links.unionByName(links_between(met, signed, hashes, percent)), "links")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
