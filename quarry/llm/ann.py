@@ -2,7 +2,9 @@
 
 Unit vectors are cut into halves, each half is quantised by its own centroids, and a pair of centroids is a cell. A query walks
 the pairs by rising sum of squared distances, with a heap, until the cells that it has seen hold enough entries; all of those are
-reranked by the exact cosine. Equal vectors are one entry that keeps as many of its smallest ids as an answer can need.
+reranked by the exact cosine. How many are enough is read from a bounded sample of trial vectors, whose exact answers are
+known: so many that RECALL of these answers lie in the cells seen. Equal vectors are one entry that keeps as many of its
+smallest ids as an answer can need.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from pyspark.sql.window import Window
 from quarry.llm.common import keep, ship
 from quarry.llm.vectors import unit, usable
 
-#: Vectors that k-means reads at most (those that hash lowest), and its rounds.
-SAMPLE, ROUNDS = 20_000, 8
-#: Entries in a cell on average, where that leaves from 16 to 256 centroids for a half.
-IN_CELL = 20
-#: A query sees this share of all entries, LEAST at least: unclustered vectors need as much for a recall above 0.9.
-SHARE, LEAST = 0.5, 1_000
+#: Vectors that k-means reads at most (those that hash lowest), components of all of them, and its rounds.
+SAMPLE, COMPONENTS, ROUNDS = 20_000, 2_000_000, 8
+#: Entries in a cell on average, where that leaves from 32 to 256 centroids for a half.
+IN_CELL = 4
+#: Trial vectors (no queries, those that hash lowest), and the share of their exact answers that the cells seen must hold.
+TRIALS, RECALL = 128, 0.96
 #: Entries of a cell that stay together, and entries and queries that meet in one task, about.
 BLOCK, GROUP = 512, 4_096
 
@@ -71,13 +73,14 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> list[
     return out
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHARE) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose vec_id is divisible by `every`.
 
     Nearness is the cosine in double precision, ties go to the smaller vec_id; a query's own id is no candidate, rows that repeat
     an id with the same vector count once. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without an id, take no part; only vectors of equal length are compared, so with fewer candidates answers are
-    shorter. The sample, the cells' counts (65,536 at most) and sums go to the driver.
+    shorter. Each length has an index of its own. The sample, the trials and their answers, the cells' counts (65,536 at
+    most) and sums go to the driver.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
@@ -92,7 +95,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHARE
     lengths = [(r["d"], r["n"]) for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
     near = None
     for dims, n in lengths:
-        found = _search(entries.where(F.size("v") == dims), asked.select("row").distinct(), n, k + 1, share)
+        found = _search(entries.where(F.size("v") == dims), asked.select("row").distinct(), n, k + 1, recall)
         near = found if near is None else near.unionByName(found)
     schema = "query_id long, rank int, vec_id long, score double"
     if near is None:
@@ -104,11 +107,58 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, share: float = SHARE
     return each.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(entries: DataFrame, queries: DataFrame, n: int, k: int, share: float) -> DataFrame:
+def trials(entries: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Trial vectors, and (trial, cell) of each of their exact k nearest entries; a trial's own entry is none of them."""
+    some = entries.join(queries, "row", "left_anti").select("row", "v", "key").orderBy(F.xxhash64("key", F.lit(1)), "key").limit(TRIALS).collect()
+    own, x = np.array([r["row"] for r in some]), np.array([r["v"] for r in some], dtype=np.float64)
+    if not len(some):
+        return x, []
+    x = unit(x)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int32))] * len(x)
+        for b in batches:
+            for at in range(0, b.num_rows, 4_096):
+                part = b.slice(at, 4_096)
+                row, cell = part.column("row").to_numpy(), part.column("cell").to_numpy()
+                score = x @ unit(np.array(part.column("v").to_pylist(), dtype=np.float64)).T
+                score[row == own[:, None]] = -2
+                for i, (s, c) in enumerate(best):
+                    s, c = np.concatenate([s, score[i]]), np.concatenate([c, cell])
+                    top = np.argsort(-s, kind="stable")[:k]
+                    best[i] = s[top], c[top]
+        found = [(i, float(p), int(q)) for i, (s, c) in enumerate(best) for p, q in zip(s, c, strict=True) if p > -2]
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int32()), strict=True)], ["trial", "score", "cell"])
+
+    found = index.select("row", "v", "cell").mapInArrow(nearest, "trial int, score double, cell int")
+    of = Window.partitionBy("trial").orderBy(F.desc("score"), "cell")
+    return x, [(r["trial"], r["cell"]) for r in found.withColumn("n", F.row_number().over(of)).where(F.col("n") <= k).collect()]
+
+
+def needed(x: np.ndarray, answers: list[tuple[int, int]], books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, recall: float) -> int:
+    """How many entries a walk must see so that it meets this share of the answers' cells."""
+    if not answers:
+        return int(counts.sum())
+    a, b = distances(x, books)
+    depths, cells = [], [[] for _ in x]
+    for i, c in answers:
+        cells[i].append(c)
+    for i, some in enumerate(cells):
+        order = np.argsort((a[i][:, None] + b[i]).ravel(), kind="stable")
+        seen = np.cumsum(counts[order]) - counts[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        depths += (seen[place[some]] + 1).tolist()
+    return int(np.quantile(depths, recall, method="higher"))
+
+
+def _search(entries: DataFrame, queries: DataFrame, n: int, k: int, recall: float) -> DataFrame:
     """q, ids, score: of each query row the k nearest entries that each task saw."""
-    sample = entries.select("v").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    dims = len(entries.first()["v"])
+    sample = entries.select("v").orderBy(F.xxhash64("key"), "key").limit(max(256, min(SAMPLE, COMPONENTS // dims))).collect()
     x = halves(unit(np.array([r["v"] for r in sample], dtype=np.float64)))
-    size = min(len(sample), max(16, min(256, int((n / IN_CELL) ** 0.5))))
+    size = min(len(sample), max(32, min(256, int((n / IN_CELL) ** 0.5))))
     books = tuple(centroids(h, size) for h in x)
 
     def rows_of(b: pa.RecordBatch) -> np.ndarray:
@@ -125,7 +175,7 @@ def _search(entries: DataFrame, queries: DataFrame, n: int, k: int, share: float
     counts = np.zeros(size * size, dtype=np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
-    enough = max(LEAST, int(share * n))
+    enough = needed(*trials(entries, index, queries, k - 1), books, counts, recall)
     shards, blocks = max(1, -(-n // GROUP)), np.maximum(1, -(-counts // BLOCK))
 
     def shard(cell: np.ndarray, block: np.ndarray) -> np.ndarray:

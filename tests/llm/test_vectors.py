@@ -1,5 +1,9 @@
 """Near-duplicate vectors and nearest neighbours against brute force."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 
 from quarry.llm import ann, embdedup
@@ -101,6 +105,28 @@ def test_search(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_of_vectors_without_clusters(spark):
+    x = np.random.default_rng(8).standard_normal((6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, 50, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    hits = sum(len(got[q] & {i for i, _ in nearest(x, q, 5)}) for q in range(0, 6000, 50))
+    assert hits >= 0.9 * 5 * 120
+
+
+def test_a_worker_holds_little_for_the_threshold():
+    code = "import resource; from quarry.llm import embdedup; a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; embdedup.code(64); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, check=True, env=os.environ).stdout) < 200 * 1024
+
+
+def test_large_filters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "TOGETHER", 40)
+    monkeypatch.setattr(embdedup, "GROUP", 8)
+    test_duplicates(spark)
+
+
 def test_search_of_copies_and_few(spark):
     rows = [(i, [1.0, 0.0], 0, "", 0) for i in range(0, 400)] + [(500, [0.0, 1.0], 0, "", 0), (500, [0.0, 1.0], 0, "", 0), (None, [1.0, 0.0], 0, "", 0), (550, [1.0], 0, "", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
