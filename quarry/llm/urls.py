@@ -1,7 +1,8 @@
 """URL filters: rules on hosts and paths, and, where none fits, naive Bayes over segmented host and path tokens.
 
 A host's labels are split into words by a unigram Viterbi whose counts come from the URLs' paths and a seed list. The counts of
-all path words stay distributed: each host gets those of its own substrings by a join.
+all path words stay distributed: each host gets those of its own substrings by a join. The classifier learns from a bounded
+sample of the URLs that the rules decide, beside the seed list.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,12 @@ ALLOW_EXAMPLES = """blog; news daily; www; world news today; university research
 information; science journal; recipes kitchen; travel guide; weather report; school education; history museum; music review; film review;
 garden tips; photo gallery; local government services; developer forum; wiki encyclopedia; book club; sports results; company about contact;
 article archive; help support""".replace("\n", " ")
-#: The longest word of the segmenter; the prior of block.
-LONGEST, PRIOR = 24, 0.2
+#: A label has at most so many characters and a host so many, by their standard; what is longer is no name to split, but one word.
+LONGEST, LONGEST_HOST = 63, 253
+#: The prior of block; the most different URLs that the classifier learns from (those that hash lowest, outside of fold 0 of FOLDS).
+PRIOR, SAMPLE, FOLDS = 0.2, 5_000, 5
+#: In the classifier, counts of the URLs' words and of the seed list add up to as much for each verdict.
+LEARNT = 1_000.0
 #: The segmenter's counts add up to TOTAL, whatever the size of the table; the seed list has this share of it.
 TOTAL, SEED_SHARE = 150_000.0, 0.5
 #: Counts that a worker's segmenter holds before it starts anew.
@@ -63,9 +68,11 @@ class Segmenter:
         if (known := self.kept.get(name)) is not None:
             return known
         best, back = [0.0], [0]
+        if len(name) > LONGEST:
+            return [name]
         for end in range(1, len(name) + 1):
             found, start = math.inf, end - 1
-            for i in range(max(0, end - LONGEST), end):
+            for i in range(end):
                 cost = best[i] + self.cost.get(name[i:end], self.unknown + 3.0 * (end - i))
                 if cost < found:
                     found, start = cost, i
@@ -83,10 +90,17 @@ class Segmenter:
 
 
 class Bayes:
-    """Multinomial naive Bayes with add-one smoothing; words outside the examples say nothing."""
-
-    def __init__(self, block: list[str], allow: list[str]):
-        a, b = Counter(allow), Counter(block)
+    """Multinomial naive Bayes with add-one smoothing over words of labelled examples; words outside of them say nothing."""
+
+    def __init__(self, examples: list[tuple[str, list[str]]] = ()):
+        """From (verdict, words); of each verdict they weigh as much as the seed list."""
+        counts = {}
+        for verdict, seeds in (("block", BLOCK_EXAMPLES), ("allow", ALLOW_EXAMPLES)):
+            counts[verdict] = Counter()
+            for some in (Counter(TOKEN.findall(seeds)), Counter(w for v, words in examples if v == verdict for w in words)):
+                for w, c in some.items():
+                    counts[verdict][w] += c * LEARNT / some.total()
+        a, b = counts["allow"], counts["block"]
         words = a.keys() | b.keys()
         n, m = sum(a.values()) + len(words), sum(b.values()) + len(words)
         self.weight = {w: math.log((b[w] + 1) / m) - math.log((a[w] + 1) / n) for w in words}
@@ -124,7 +138,13 @@ def names(host: str) -> list[str]:
 
 def substrings(host: str) -> set[str]:
     """Whatever may be a word in a host's names, and the empty text, so that each host has one."""
-    return {n[i:j] for n in names(host) for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST) + 1)} | {""}
+    if len(host) > LONGEST_HOST:
+        return {""}
+    return {n[i:j] for n in names(host) if len(n) <= LONGEST for i in range(len(n)) for j in range(i + 2, len(n) + 1)} | {""}
+
+
+def host_words(host: str, split: Callable[[str], list[str]]) -> list[str]:
+    return [w for n in names(host) for w in (split(n) if len(host) <= LONGEST_HOST else [n])]
 
 
 def segmented(pages: DataFrame) -> DataFrame:
@@ -134,7 +154,7 @@ def segmented(pages: DataFrame) -> DataFrame:
     """
     host, path = parts(F.col("url"))
     seeds = Counter(TOKEN.findall(BLOCK_EXAMPLES + " " + ALLOW_EXAMPLES))
-    tokens = F.explode(F.regexp_extract_all(F.lower(path), F.lit("[a-z]{2,24}"), F.lit(0)))
+    tokens = F.explode(F.regexp_extract_all(F.lower(path), F.lit("[a-z]{2,}"), F.lit(0)))
     counts = keep(pages.select(tokens.alias("w")).groupBy("w").count(), "words")
     every = counts.agg(F.sum("count")).first()[0] or 1
     seed = {w: c * TOTAL * SEED_SHARE / seeds.total() for w, c in seeds.items()}
@@ -154,7 +174,7 @@ def segmented(pages: DataFrame) -> DataFrame:
                 if len(segmenter.cost) > HELD:
                     segmenter = Segmenter(seed, TOTAL)
                 segmenter.learn({x["w"]: seed.get(x["w"], 0.0) + each * x["count"] for x in known})
-                out.append(" ".join(w for name in names(h.decode("utf-8", "replace")) for w in segmenter.split(name)))
+                out.append(" ".join(host_words(h.decode("utf-8", "replace"), segmenter.split)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["h", "split"])
 
     pairs = pages.select(utf8(host).alias("h")).distinct().mapInArrow(cut, "h binary, w string").join(counts, "w", "left")
@@ -162,29 +182,54 @@ def segmented(pages: DataFrame) -> DataFrame:
     return known.mapInArrow(split, "h binary, split string")
 
 
+def text_of(b: pa.RecordBatch, *columns: int) -> Iterator[tuple[str, ...]]:
+    return zip(*([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in columns), strict=True)
+
+
+def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """page_id, h, p (binary), words, rule, verdict (null where no rule fits), for every row of page_id and url."""
+    host, path = parts(F.col("url"))
+    held = Rules(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(" ".join(s.split() + TOKEN.findall(p.lower())), *(held.find(h, p) or (None, None))) for (h, p), s in zip(text_of(b, 1, 2), b.column(3).to_pylist(), strict=True)]
+            columns = zip(*out, strict=True) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.string()) for c in columns)], ["page_id", "h", "p", "words", "rule", "verdict"])
+
+    rows = pages.select("page_id", utf8(host).alias("h"), utf8(path).alias("p")).join(segmented(pages), "h", "left").select("page_id", "h", "p", "split")
+    return keep(rows.mapInArrow(run, "page_id long, h binary, p binary, words string, rule string, verdict string"), "ruled")
+
+
+def fold():
+    return F.pmod(F.xxhash64("h", "p", F.lit(2)), F.lit(FOLDS))
+
+
+def fit(rows: DataFrame) -> Bayes:
+    """A classifier from `ruled` URLs: at most SAMPLE different ones that a rule decides, none of fold 0."""
+    decided = rows.where(F.col("verdict").isNotNull() & (fold() != 0)).select("h", "p", "words", "verdict", F.xxhash64("h", "p").alias("hash"))
+    many = decided.agg(F.approx_count_distinct("hash")).first()[0]
+    share = min(1.0, 2 * SAMPLE / max(1, many))
+    few = decided.where(F.pmod("hash", F.lit(1 << 20)) <= int(share * (1 << 20))).dropDuplicates(["h", "p"])
+    some = few.orderBy(F.pmod("hash", F.lit(1 << 20)), "hash", "h", "p").limit(SAMPLE).collect()
+    return Bayes([(r["verdict"], r["words"].split()) for r in some])
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, words, score, for every row of page_id and url.
 
     verdict is the longest fitting rule's, else block if the log odds (score) are above 0. Null URLs and URLs without :// have
-    an empty host and path and are judged by the prior alone. Repeated rows and null ids stay; other columns are left out.
+    an empty host and path and are judged by the prior alone. Labels of more than LONGEST characters, and those of hosts of more
+    than LONGEST_HOST, are words as they are. Repeated rows and null ids stay; other columns are left out.
     """
     ship(pages.sparkSession)
-    host, path = parts(F.col("url"))
-    split = segmented(pages)
+    rows = ruled(pages, rules)
+    bayes = fit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Rules(rules)
-        bayes = Bayes(TOKEN.findall(BLOCK_EXAMPLES), TOKEN.findall(ALLOW_EXAMPLES))
         for b in batches:
-            out = []
-            for h, p, s in zip(*([x.decode("utf-8", "replace") for x in b.column(i).to_pylist()] for i in (1, 2)), b.column(3).to_pylist(), strict=True):
-                words = s.split() + TOKEN.findall(p.lower())
-                score = bayes.score(words)
-                rule, verdict = held.find(h, p) or (None, "block" if score > 0 else "allow")
-                out.append((rule, verdict, " ".join(words), score))
-            columns = zip(*out, strict=True) if out else [[], [], [], []]
-            types = (pa.string(), pa.string(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2).cast(pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["page_id", "host", "path", "rule", "verdict", "words", "score"])
-
-    rows = pages.select("page_id", utf8(host).alias("h"), utf8(path).alias("p")).join(split, "h", "left").select("page_id", "h", "p", "split")
+            score = [bayes.score(w.split()) for w in b.column(3).to_pylist()]
+            verdict = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column(5).to_pylist(), score, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), b.column(2).cast(pa.string()), b.column(4), pa.array(verdict, pa.string()), b.column(3), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "words", "score"])
+
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, words string, score double")

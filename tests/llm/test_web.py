@@ -1,6 +1,7 @@
 """URL filters and archives."""
 
 import hashlib
+import os
 
 import pytest
 import zstandard
@@ -58,6 +59,24 @@ def test_splits_do_not_depend_on_the_size_of_the_table(spark):
     assert by[hosts[2]][1].startswith("zed qua") and len(by) == len(hosts)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_the_classifier_agrees_with_the_rules_on_urls_held_out(spark):
+    rows = urls.ruled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), RULES)
+    bayes = urls.fit(rows)
+    held = rows.where(urls.fold() == 0).where("verdict is not null").collect()
+    right = sum((bayes.score(r.words.split()) > 0) == (r.verdict == "block") for r in held)
+    assert len(held) > 100 and right / len(held) > 0.8, (right, len(held))
+    words = [w for r in rows.where("verdict is null").collect() for w in r.words.split()]
+    assert sum(w in bayes.weight for w in words) > 0.5 * len(words)
+
+
+def test_urls_beyond_all_lengths(spark):
+    some = ["http://" + "ab." * 100_000 + "org/", "http://" + "x" * 1_000_000 + ".org/", "http://a.org/" + "y" * 1_000_000]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(some)), "page_id long, url string"), RULES).collect()}
+    assert [len(got[i].host) + len(got[i].path) for i in range(3)] == [len(x) - 7 for x in some]
+    assert got[1].words == "x" * 1_000_000
+
+
 def test_segmenter_finds_the_cheapest_split():
     s = urls.Segmenter({"a": 5, "ab": 2, "abc": 1, "bc": 9, "c": 1})
 
