@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, id_below, keep, ship
+from quarry.llm.common import NO_ID, fresh_path, id_below, keep, scratch, ship
 from quarry.llm.components import components
 from quarry.llm.vectors import unit, usable
 
@@ -220,8 +220,12 @@ def duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     nameless = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("key"), 25)
     first = F.coalesce("least", nameless)
     nodes = keep(nodes.withColumn("name", first), "nodes")
-    counts, edges = links(nodes, threshold)
-    joined = components(edges)
+    spark = vectors.sparkSession
+    linked, joined_path = fresh_path(spark, "linked"), fresh_path(spark, "joined")
+    with scratch(spark):
+        counts, edges = links(nodes, threshold)
+        counts = keep(counts, "", linked)
+        joined = keep(components(edges), "", joined_path)
     named = nodes.select("node", "name").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = named.groupBy("root").agg(F.min("name").alias("component_id"))
     of = named.join(least, "root").select("node", "component_id")

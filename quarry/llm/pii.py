@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import named, unused
 from quarry.llm.spans import SPAN, with_matches
 
 BASE = ["email", "ip", "card", "phone"]
@@ -97,13 +98,13 @@ CONFIRM = {
 }
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with `spans`: array<struct<kind, start, end, score>> by kind as listed, then start.
+def find(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """The rows with a column `spans`: array<struct<kind, start, end, score>> by kind as listed, then start.
 
-    A column named spans is replaced; other columns stay as they are.
+    A column of that name is replaced; other columns stay as they are.
     """
-    kept = [c for c in docs.columns if c != "spans"]
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    kept = [c for c in docs.columns if c.lower() != spans.lower()]
+    df = docs.select(F.struct(*map(named, kept)).alias("row"), F.coalesce(named(text), F.lit("")).alias("t"))
     digit = F.col("t").rlike("[0-9]")
     df = with_matches(df, "t", PATTERNS, {"email": F.instr("t", "@") > 0, "phone": F.instr("t", "+") > 0, "ip": digit, "card": digit, "ssn": digit, "tel": digit, "iban": digit})
 
@@ -125,16 +126,16 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         out = F.transform(some, score)
         return out if kind in BASE else F.filter(out, lambda s: s["score"] >= ENOUGH)
 
-    return df.select("row", F.concat(*(scored(k) for k in KINDS)).alias("spans")).select(*(F.col("row")[c].alias(c) for c in kept), "spans")
+    return df.select("row", F.concat(*(scored(k) for k in KINDS)).alias("spans")).select(*(F.col("row")[c].alias(c) for c in kept), F.col("spans").alias(spans))
 
 
-def redact(found: DataFrame, text: str = "text") -> DataFrame:
+def redact(found: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Each run of overlapping spans in `text` becomes the name of its first kind in brackets, such as [EMAIL].
 
     Of spans that start together the longest names the run. Rows without spans, and null texts, stay as they are.
     """
     item = "array<struct<start:int,end:int,kind:string>>"
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(named(spans), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
 
     def join(done: Column, s: Column) -> Column:
         last, end = F.element_at(done, -1), -s["end"]
@@ -142,13 +143,15 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
         wider = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind")))
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), wider)).otherwise(F.concat(done, own))
 
-    runs = F.when(F.size("spans") > 0, F.aggregate(ordered, F.array().cast(item), join)).otherwise(F.array().cast(item))
-    df = found.withColumn("__runs", runs)
-    t, r = F.col(f"`{text}`"), F.col("__runs")
+    runs = F.when(F.size(named(spans)) > 0, F.aggregate(ordered, F.array().cast(item), join)).otherwise(F.array().cast(item))
+    held, columns = unused(found, "runs"), found.columns
+    df = found.select(*map(named, columns), runs.alias(held))
+    t, r = named(text), F.col(held)
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at(r, F.greatest(i, F.lit(1)))["end"]).otherwise(0)
         return F.concat(F.substr(t, before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
 
     whole = F.concat(F.array_join(F.transform(r, piece), ""), F.substr(t, F.element_at(r, -1)["end"] + 1))
-    return df.withColumn(text, F.when(F.size(r) > 0, whole).otherwise(t)).drop("__runs")
+    masked = F.when(F.size(r) > 0, whole).otherwise(t).alias(text)
+    return df.select(*(masked if c == text else named(c) for c in columns))

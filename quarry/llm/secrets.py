@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, hadoop_fs
+from quarry.llm.common import fresh_path, hadoop_fs, named
 from quarry.llm.spans import with_matches
 
 BASE = ["assign", "access", "hex"]
@@ -85,8 +85,8 @@ def findings(versions: DataFrame, path: str | None = None) -> DataFrame:
     some = held.where((F.col("rules") == RULES) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     some = some.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), salts.alias("__salt"))
-    kept = [F.col(f"`{c}`") for c in versions.columns if c not in ("spans", "text")]
-    rows = versions.select(*kept, blob_of("text").alias("__own"), F.pmod(F.xxhash64(*kept), F.lit(SALTS)).cast("int").alias("__part"))
+    kept = [named(c) for c in versions.columns if c.lower() not in ("spans", "text")]
+    rows = versions.select(*kept, blob_of("text").alias("__own"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__part"))
     out = rows.join(some, (rows["__own"] == some["__blob"]) & (rows["__part"] == some["__salt"]), "left")
     return out.select(*kept, F.coalesce("__spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans"))
 

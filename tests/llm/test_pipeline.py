@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     rnd, base = random.Random(6), f"file://{tmp_path_factory.mktemp('tables')}"
     toxic = [rnd.random() < 0.3 for _ in range(900)]
     rows = [(i, text(rnd, t), "en", "s", 0) for i, t in enumerate(toxic)]
-    rows += [(900, rows[3][1], "en", "s", 0), (901, "mail a@b.co or call +1 (017) 555-7713 about it now", "en", "s", 0), (902, None, None, None, None), (903, "", "en", "s", 0), (None, "a text without an id here", "en", "s", 0)]
+    rows += [(900, rows[3][1], "en", "s", 0), (901, "mail a@b.co or call +1 (017) 555-7713 about it now", "en", "s", 0), (902, None, None, None, None), (903, "", "en", "s", 0), (None, "the reon anti outhe rean", "en", "s", 0)]
     rows += [rows[-1], rows[5]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic) if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
@@ -87,6 +87,37 @@ def test_pipeline(spark, folder):
     assert sorted(map(str, got)) == sorted(str(r.doc_id) for r in out if r.piece == 0)
 
 
+def test_stages_keep_columns_whose_names_clash(spark, folder):
+    base, rows, _ = folder
+    rows = [(*r, 7.5, "mine", i, {"k": i}) for i, r in enumerate(rows[:60] + rows[900:903])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxicity double, spans string, `a.b` int, runs map<string,int>")
+    want = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, base)
+        assert docs.schema.names == before.schema.names, name
+        assert all((r["toxicity"], r["spans"], r["a.b"], r["runs"]) == want[r["doc_id"]] for r in docs.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, base).count() == docs.count()
+
+
+def test_an_empty_table(spark, folder, tmp_path):
+    base, path = folder[0], f"file://{tmp_path}"
+    spark.read.parquet(f"{base}/documents.parquet").limit(0).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{base}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
+    assert toxicity.score(spark.read.parquet(f"{path}/documents.parquet"), toxicity.train([], [])).count() == 0
+
+
+def test_fewer_passes_give_the_same_logits():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network({"ab": 0})
+    net.p = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in net.p.items()}
+    x = rng.standard_normal((50, 3 * toxicity.STATES)).astype(np.float32)
+    rows = rng.integers(0, 50, (9, toxicity.WINDOW))
+    rows[3, 5:] = rows[4, 1:] = -1
+    want, _ = net.run(x, x[::-1], rows)
+    assert np.allclose(net.logits(x + net.p["cf"], x[::-1] + net.p["cb"], rows), want, atol=1e-4)
+
+
 def test_half_a_window_of_words_lies_whole_in_some_window():
     for n in (1, 24, 48, 49, 60, 73, 200, 501):
         starts, k = toxicity.windows(n), min(n, toxicity.WINDOW // 2)

@@ -119,6 +119,12 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert [(r.doc_id, len(r.spans)) for r in out.orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 0)]
 
 
+def test_findings_of_rows_with_maps_or_text_alone(spark):
+    df = spark.createDataFrame([("password=abcdef", {"a": 1}), (None, None)], "text string, `m.x` map<string,int>")
+    assert sorted((len(r.spans), r["m.x"] or {}) for r in secrets.findings(df).collect()) == [(0, {}), (1, {"a": 1})]
+    assert sorted(len(r.spans) for r in secrets.findings(df.select("text")).collect()) == [0, 1]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(df).count() == secrets.findings(df).count() == pii.redact(pii.find(df)).count() == 0
