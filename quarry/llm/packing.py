@@ -36,7 +36,7 @@ CLOSE = 0.0005
 #: Chunks between white space, or words in them, and ids of all of them, that empty a worker's cache; longer ones are not kept.
 CACHED, IDS_CACHED, LONGEST_CACHED = 700_000, 8_000_000, 48
 #: Pieces of one length among which places are dealt in one task, about.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x200-9a-z]+")
