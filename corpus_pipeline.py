@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash, packing, pii, toxicity
-from quarry.llm.common import keep, read
+from quarry.llm.common import drop, fresh_path, keep, named, read, scratch, unused
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score below TOXIC; the network learns from the labels of `sf_dir`."""
-    net = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).where(F.col("toxicity") < toxicity.TOXIC).select(docs.columns)
+    net, own = toxicity.fit(docs, read(spark, sf_dir, "labels")), unused(docs, "own_toxicity")
+    return toxicity.score(docs, net, own).where(F.col(own) < toxicity.TOXIC).drop(own)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with each run of personal data replaced by its kind; n_chars follows the text."""
-    masked = pii.redact(pii.find(docs)).withColumn("n_chars", F.length("text").cast("long"))
-    return masked.select(docs.columns)
+    """The documents with each run of personal data replaced by its kind; n_chars, where there is one, follows the text."""
+    own = unused(docs, "own_spans")
+    masked = pii.redact(pii.find(docs, spans=own), spans=own)
+    return masked.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, one after the other."""
-    out = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        out = keep(stage(spark, out, sf_dir), f"pipeline-{name}")
-    return keep(STAGES[-1][1](spark, out, sf_dir), "pipeline-packing")
+    out, last = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage wrote goes when its result is written, and so does what it read
+            out = keep(stage(spark, out, sf_dir), "", path)
+        if last:
+            drop(spark, last)
+        last = path
+    return out
