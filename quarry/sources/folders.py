@@ -8,11 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
