@@ -83,12 +83,15 @@ def in_rectangle(p: Column, x0: float | None, y0: float, x1: float | None, y1: f
 def radius(metric: str, p: Column, centre: tuple[float, float], r: float, inclusive: bool = True, strict: bool = False) -> Column:
     """Whether a point lies within r of the centre: the exact distance, and the rectangle that it implies.
 
-    With strict, coordinates out of range raise an error; then the rectangle is left out, as it would hide such rows.
+    With strict, coordinates out of range raise an error; so such rows pass the rectangle.
     """
     d = distance(metric, p, centre, strict)
     near = d <= F.lit(float(r)) if inclusive else d < F.lit(float(r))
-    box = None if strict and metric == GEODESIC else bounds(metric, centre, r)
-    return near if box is None else in_rectangle(p, *box) & near
+    box = bounds(metric, centre, r)
+    if box is None:
+        return near
+    inside = in_rectangle(p, *box)
+    return (inside | ~on_earth(p) if strict and metric == GEODESIC else inside) & near
 
 
 def in_polygon(p: Column, vertices: Sequence[tuple[float, float]]) -> Column:
@@ -105,12 +108,6 @@ def in_polygon(p: Column, vertices: Sequence[tuple[float, float]]) -> Column:
     return in_rectangle(p, min(xs), min(ys), max(xs), max(ys)) & inside
 
 
-def nearest(df: DataFrame, p: Column, centre: tuple[float, float], k: int, *ties: str, metric: str = EUCLIDEAN, farthest: bool = False) -> DataFrame:
-    """The k nearest (or farthest) rows and their `distance`: one TakeOrderedAndProject, no full sort."""
-    out = df.withColumn("distance", distance(metric, p, centre))
-    return out.orderBy(F.desc("distance") if farthest else F.asc("distance"), *ties).limit(k)
-
-
 def rectangle(p: Column) -> list[Column]:
     """Aggregates of the smallest rectangle that holds a group's points."""
     return [F.min(p["x"]).alias("x_min"), F.min(p["y"]).alias("y_min"), F.max(p["x"]).alias("x_max"), F.max(p["y"]).alias("y_max")]
@@ -120,6 +117,33 @@ def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return (x1 - x0) * (y1 - y0)
 
 
+def union(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    """The smallest rectangle (x0, y0, x1, y1) that holds two."""
+    return [F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])]
+
+
+def enlargement(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """How much area a rectangle gains so that it also holds another."""
+    return area(*union(a, b)) - area(*a)
+
+
+def intersects(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether two closed rectangles share a point."""
+    return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
+def contains(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Whether a closed rectangle holds all of another."""
+    return (a[0] <= b[0]) & (a[1] <= b[1]) & (a[2] >= b[2]) & (a[3] >= b[3])
+
+
+def mindist(p: Column, a: Sequence[Column]) -> Column:
+    """The planar distance from a point to the nearest one of a rectangle; 0 inside."""
+    dx = F.greatest(a[0] - p["x"], F.lit(0.0), p["x"] - a[2])
+    dy = F.greatest(a[1] - p["y"], F.lit(0.0), p["y"] - a[3])
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def cell(p: Column, size: float) -> Column:
     """A grid cell's number along a Z-shaped curve of 16 bits each way, to sort points by."""
     part = lambda c: F.floor(c / F.lit(float(size))).cast("long").bitwiseAND(0xFFFF)

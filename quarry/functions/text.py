@@ -18,7 +18,7 @@ STOP_WORDS = tuple(
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS, stems: bool = False) -> Column:
     """The words of a text that consist of letters alone, as an array; a null text has none."""
     apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([.,;:¡!¿?])", " $1 ")
-    words = F.filter(F.split(apart, r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
+    words = F.regexp_extract_all(apart, F.lit(r"(?<!\S)\p{L}++(?!\S)"), F.lit(0))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(*stop))
     return stem_all(words) if stems else words

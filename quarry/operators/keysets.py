@@ -19,10 +19,6 @@ def difference(a: Column, b: Column) -> Column:
     return a & ~b
 
 
-def popcount(df: DataFrame, mask: Column) -> int:
-    return df.where(mask).count()
-
-
 def keys(df: DataFrame, key: str, mask: Column) -> DataFrame:
     """The keys of the rows that a mask selects, to combine with those of other tables by intersect, union and exceptAll."""
     return df.where(mask).select(key)

@@ -9,7 +9,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import SqlError
@@ -18,7 +18,11 @@ from quarry.functions.text import STOP_WORDS, stem, tokens
 
 def bag(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, stems: bool = False) -> DataFrame:
     """key, term, tf."""
-    words = docs.select(key, F.explode(tokens(F.col(text), stop, stems)).alias("term"))
+    if stems:
+        words = docs.select(key, F.explode(tokens(F.col(text), stop, True)).alias("term"))
+    else:  # stop words go after the words stand in rows, where a set of constants is compiled code
+        words = docs.select(key, F.explode(tokens(F.col(text), ())).alias("term"))
+        words = words.where(~F.col("term").isin(*stop)) if stop else words
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -29,22 +33,42 @@ def as_maps(bags: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """postings: key, term, tf; the index is a table like any other, sorted by term when it is written."""
+    """postings: key, term, tf; df: term, df; norms: key, nd, the length of a document's vector of weights.
+
+    Built in memory these are plans; written, tables: postings sorted by term, so that a list reads the files that hold it.
+    """
 
     postings: DataFrame
     key: str
     stems: bool = False
+    df: DataFrame | None = None
+    norms: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = STOP_WORDS, stems: bool = False) -> Index:
         return cls(bag(docs, key, text, stop, stems), key, stems)
 
-    def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(path)
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, key: str, stems: bool = False) -> Index:
+        return cls(*(spark.read.parquet(f"{path}/postings"),), key, stems, spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/norms"))
+
+    def write(self, path: str) -> Index:
+        """Store the index; texts are read and cut into words once."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
+        held = Index(spark.read.parquet(f"{path}/postings"), self.key, self.stems)
+        held.frequencies().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
+        held.df = spark.read.parquet(f"{path}/df")
+        held.lengths().write.mode("overwrite").parquet(f"{path}/norms")
+        return Index.open(spark, path, self.key, self.stems)
 
     def frequencies(self) -> DataFrame:
         """term, df."""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.df if self.df is not None else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def lengths(self) -> DataFrame:
+        """key, nd."""
+        return self.norms if self.norms is not None else self.weights().groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
 
     def term(self, word: str) -> str:
         return stem(word) if self.stems else word
@@ -94,14 +118,13 @@ class Index:
         counts = Counter(self.term(w) for w in query.split())
         spark = self.postings.sparkSession
         asked = spark.createDataFrame([(t, n) for t, n in counts.items()], "term string, n long")
-        weights = self.weights()
-        q = asked.join(self.frequencies(), "term").select("term", ((1 + F.log10("n")) / (F.col("df") + 1)).alias("q"))
+        of = F.col("term").isin(*counts)
+        q = asked.join(self.frequencies().where(of), "term").select("term", "df", ((1 + F.log10("n")) / (F.col("df") + 1)).alias("q"))
         norm = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("nq"))
-        # one pass over the weights gives the norm and the dot product of each document
-        per = weights.join(F.broadcast(q), "term", "left").groupBy(self.key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"), F.sum(F.col("w") * F.col("q")).alias("dot"))
-        out = per.join(F.broadcast(norm)).where(F.col("nq").isNotNull())  # one row: the query's norm
-        if not everything:
-            out = out.where(F.col("dot").isNotNull())
+        # only the lists of the query's terms are read, and the lengths of the documents in them
+        w = (1 + F.log10("tf")) / (F.col("df") + 1)
+        dots = self.postings.where(of).join(F.broadcast(q), "term").groupBy(self.key).agg(F.sum(w * F.col("q")).alias("dot"))
+        out = self.lengths().join(dots, self.key, "left" if everything else "inner").join(F.broadcast(norm)).where(F.col("nq").isNotNull())  # one row: the query's length
         out = out.select(self.key, F.coalesce(F.col("dot") / (F.col("nd") * F.col("nq")), F.lit(0.0)).alias("score"))
         return out if k is None else out.orderBy(F.desc(F.round("score", 9)), self.key).limit(k)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ class Table:
     frame: DataFrame
     key: str | None = None
     ordered: bool = False  # its rows come in the order of its key
+    by: str | None = None  # the column that its files are sorted by
+    in_order: Callable[[bool], DataFrame | None] = lambda descending: None  # its rows by that column, without an exchange
 
     @property
     def fields(self) -> list[T.StructField]:
@@ -39,8 +42,8 @@ class Scope:
         self.tables = tables
         self.columns = [(k, table.name, f, f"c{k}_{i}") for k, table in enumerate(tables) for i, f in enumerate(table.fields)]
 
-    def frame(self, k: int) -> DataFrame:
-        return self.tables[k].frame.select(*(F.col(f"`{f.name}`").alias(inner) for j, _, f, inner in self.columns if j == k))
+    def frame(self, k: int, frame: DataFrame | None = None) -> DataFrame:
+        return (self.tables[k].frame if frame is None else frame).select(*(F.col(f"`{f.name}`").alias(inner) for j, _, f, inner in self.columns if j == k))
 
     def find(self, name: t.Name, only: int | None = None) -> tuple[T.StructField, str]:
         if name.table is not None and name.table not in [x.name for x in self.tables]:
@@ -149,7 +152,12 @@ def select(s: t.Select, tables: dict[str, Table], standard_empty: bool = False)
         if name not in tables:
             raise semantic(f"no table {name}")
     scope = Scope([tables[s.table], *([tables[s.join[0]]] if s.join else [])])
-    df = scope.frame(0)
+    df, sorted_already = scope.frame(0), False
+    first = scope.tables[0]
+    plain = not s.join and s.group is None and not any(isinstance(i, t.Aggregate) for i in s.items or ())
+    if plain and first.by and (isinstance(s.order, t.Name) and scope.find(s.order)[0].name == first.by or s.order is None and first.ordered):
+        if (sorted_rows := first.in_order(bool(s.order and s.descending))) is not None:
+            df, sorted_already = scope.frame(0, sorted_rows), True
     if s.join:
         other, a, b = s.join
         if other == s.table and (s.items is not None or s.where or s.group or s.order):
@@ -167,7 +175,9 @@ def select(s: t.Select, tables: dict[str, Table], standard_empty: bool = False)
     aggregates = [i for i in s.items or () if isinstance(i, t.Aggregate)]
     if s.group is not None or aggregates:
         return _grouped(s, scope, df, standard_empty)
-    if s.order is not None:
+    if sorted_already:
+        pass
+    elif s.order is not None:
         by = distance(scope, s.order) if isinstance(s.order, t.Distance) else scope.column(s.order)
         ties = [F.col(k) for k in (scope.key(i) for i in range(len(scope.tables))) if k]
         df = df.orderBy(by.desc() if s.descending else by.asc(), *ties)

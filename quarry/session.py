@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,7 +19,7 @@ from quarry.plans import tree as t
 from quarry.plans.parser import parse
 from quarry.sources import constraints
 from quarry.sources.locks import EXCLUSIVE, SHARED, UPDATE, Locks
-from quarry.sources.store import SEQUENTIAL, Entry, Store
+from quarry.sources.store import LOOSE, MANY, SEQUENTIAL, Entry, Store, sorted_by
 
 SYSTEM = {
     "sys_tables": "table_id int, table_name string, organisation string, primary_key string",
@@ -59,6 +60,7 @@ class Engine:
         self.commits = threading.Lock()
         self.views: dict[str, planner.Table] = {}
         self.live: set[str] = set()
+        self.recovered: list[str] | None = None
 
     def session(self) -> Session:
         return Session(self)
@@ -80,12 +82,26 @@ class Engine:
         rows = [(e["transaction"], i, e["type"], e.get("table"), e.get("rows")) for i, e in enumerate(self.store.events())]
         return self.spark.createDataFrame(rows, "transaction string, number int, type string, table string, rows long")
 
+    def health(self) -> dict[str, object]:
+        """Whether the warehouse can be read, its newest manifest, and what is open."""
+        try:
+            number, tables = self.store.latest()
+            status = "ok"
+        except Exception as e:  # whatever the file system raises
+            number, tables, status = None, {}, f"failing: {e}"
+        return {"status": status, "manifest": number, "tables": len(tables), "open_transactions": len(self.live), "locks": len(self.locks.listing())}
+
+    def recovery_status(self) -> DataFrame:
+        """What the last recover() of this engine found: each folder that it removed; none before the first."""
+        return self.spark.createDataFrame([(x,) for x in self.recovered or []], "folder string")
+
     def lock_table(self) -> DataFrame:
         return self.spark.createDataFrame(self.locks.listing(), "table string, owner string, mode string")
 
     def recover(self) -> list[str]:
         """After a crash: what was committed is there; folders of transactions that never ended are removed."""
-        return self.store.vacuum()
+        self.recovered = self.store.vacuum()
+        return self.recovered
 
 
 class Session:
@@ -145,13 +161,21 @@ class Session:
                 rows += [(x["name"], table, x["column"], x["kind"], x["clustered"]) for x in e.indexes]
         return self.spark.createDataFrame(rows, SYSTEM[name])
 
-    def tables(self) -> dict[str, planner.Table]:
+    def _table(self, name: str, e: Entry) -> planner.Table:
+        pending = self.open and self.open.pending.get(name)
+        in_order = lambda descending: None if pending else self.store.in_order(e, descending)
+        return planner.Table(name, self._frame(name, e), e.key, e.organisation == SEQUENTIAL, sorted_by(e), in_order)
+
+    def tables(self, names: Iterable[str] | None = None) -> dict[str, planner.Table]:
+        """Those of these names that there are, or all."""
         _, stored = self._state()
-        out = {n: planner.Table(n, self._frame(n, e), e.key, e.organisation == SEQUENTIAL) for n, e in stored.items()}
-        return dict(self.engine.views) | {n: planner.Table(n, self.system(n)) for n in SYSTEM} | out
+        wanted = {*stored, *SYSTEM, *self.engine.views} if names is None else set(names)
+        out = {n: planner.Table(n, self.system(n)) for n in SYSTEM if n in wanted}
+        out |= {n: v for n, v in self.engine.views.items() if n in wanted}
+        return out | {n: self._table(n, e) for n, e in stored.items() if n in wanted}
 
     def spatial_points(self, name: str) -> DataFrame:
-        return spatial.points_of(self.tables()[name].frame)
+        return spatial.points_of(self.tables([name])[name].frame)
 
     # --- statements
 
@@ -176,10 +200,36 @@ class Session:
         if self.open:
             self.open.events.append({"transaction": self.open.id, "type": kind.__name__.upper(), "table": s.table, "rows": out.affected_rows})
         else:
+            if kind is t.Insert:
+                self._settle(s.table, tables[s.table])
             with self.engine.commits:
                 self.store.commit(self._rebase(number, tables, {s.table}), tables)
         return out
 
+    def _settle(self, name: str, e: Entry) -> None:
+        """Rewrite a SEQUENTIAL table in one folder when much of it lies in later ones."""
+        if e.organisation == SEQUENTIAL and len(e.parts) > 1:
+            sizes = [self.store.size(p) for p in e.parts]
+            if len(sizes) > MANY or sum(sizes[1:]) > LOOSE * sizes[0]:
+                self._rewrite(name, e)
+
+    def _change(self, table: str, what: str, work: Callable[[Entry], object]) -> object:
+        """A change through the API: under the table's lock, part of an open transaction or committed at once."""
+        self.engine.locks.take(self, table, EXCLUSIVE)
+        try:
+            number, tables = self._state()
+            tables = tables if self.open else self.store.copy(tables)
+            out = work(self._entry(table, tables))
+            if self.open:
+                self.open.events.append({"transaction": self.open.id, "type": what, "table": table, "rows": out if isinstance(out, int) else None})
+            else:
+                with self.engine.commits:
+                    self.store.commit(self._rebase(number, tables, {table}), tables)
+            return out
+        finally:
+            if not self.open:
+                self.engine.locks.free(self)
+
     def _rebase(self, number: int, tables: dict[str, Entry], own: set[str]) -> int:
         """Take over what others have committed to other tables since; locks keep them off ours."""
         latest, theirs = self.store.latest()
@@ -227,15 +277,18 @@ class Session:
     def _select(self, s: t.Select) -> Result:
         names = {s.table} | ({s.join[0]} if s.join else set())
         self.engine.locks.take_all(self, dict.fromkeys(names, SHARED))
-        df, columns = planner.select(s, self.tables())
+        df, columns = planner.select(s, self.tables(names))
         return Result("rows", df, columns)
 
     def _explain(self, e: t.Explain) -> Result:
         began = time.perf_counter()
         _, tables = self._state()
 
+        if isinstance(e.statement, t.Select):
+            self.engine.locks.take_all(self, dict.fromkeys({e.statement.table, *(e.statement.join or [])[:1]}, SHARED))
+
         def info(name: str) -> tuple[int, int, dict[str, list[str]]]:
-            known = self.tables()
+            known = self.tables([name])
             if name not in known:
                 raise SqlError("semantic", f"no table {name}")
             indexes: dict[str, list[str]] = {}
@@ -251,7 +304,7 @@ class Session:
         physical: list[str] = []
         frame = None
         if isinstance(s, t.Select):
-            frame, _ = planner.select(s, self.tables())
+            frame, _ = planner.select(s, self.tables({s.table, *(s.join or [])[:1]}))
             physical = frame._jdf.queryExecution().executedPlan().toString().splitlines()
         planned = (time.perf_counter() - began) * 1000
         tail = [f"Planning Time: {planned:.3f} ms"]
@@ -262,8 +315,8 @@ class Session:
             node.actual = f" (actual time=0.000..{took:.3f} rows={rows} loops=1)"
             for child in _scans(node):
                 if isinstance(s, t.Select) and s.where is not None and not s.join and any(x.startswith("Filter") for x in child.notes):
-                    whole = self.tables()[s.table].frame.count()
-                    kept = planner.select(t.Select(None, s.table, where=s.where), self.tables())[0].count()
+                    whole = self.tables([s.table])[s.table].frame.count()
+                    kept = planner.select(t.Select(None, s.table, where=s.where), self.tables([s.table]))[0].count()
                     child.actual = f" (actual rows={kept} loops=1)"
                     child.notes.append(f"Rows Removed by Filter: {whole - kept}")
             tail.append(f"Execution Time: {took:.3f} ms")
@@ -321,21 +374,23 @@ class Session:
 
     def drop_index(self, name: str) -> None:
         """Remove an index by its name; rows stay as they lie."""
-        number, tables = self.store.latest()
-        for e in tables.values():
-            if any(x["name"] == name for x in e.indexes):
-                e.indexes = [x for x in e.indexes if x["name"] != name]
-                self.store.commit(number, tables)
-                return
-        raise SqlError("semantic", f"no index {name}")
+        table = next((n for n, e in self._state()[1].items() if any(x["name"] == name for x in e.indexes)), None)
+        if table is None:
+            raise SqlError("semantic", f"no index {name}")
+
+        def drop(e: Entry) -> None:
+            e.indexes = [x for x in e.indexes if x["name"] != name]
+
+        self._change(table, "DROPINDEX", drop)
 
     def constrain(self, table: str, not_null: list[str] = (), unique: list[str] = (), checks: dict[str, str] | None = None) -> None:
         """Add constraints: columns without nulls, columns without repeats, and named SQL predicates. The rows must hold them."""
-        number, tables = self.store.latest()
-        e = self._entry(table, tables)
-        e.not_null, e.unique, e.checks = [*e.not_null, *not_null], [*e.unique, *unique], e.checks | (checks or {})
-        self._hold(e, self.store.frame(e))
-        self.store.commit(number, tables)
+
+        def add(e: Entry) -> None:
+            e.not_null, e.unique, e.checks = [*e.not_null, *not_null], [*e.unique, *unique], e.checks | (checks or {})
+            self._hold(e, self._frame(table, e))
+
+        self._change(table, "CONSTRAIN", add)
 
     def _hold(self, e: Entry, df: DataFrame, columns: set[str] | None = None) -> None:
         """Raise if rows break a constraint; `columns`: the only ones whose repeats need a look."""
@@ -349,36 +404,41 @@ class Session:
             if not constraints.failing(df, check).isEmpty():
                 raise SqlError("constraint", f"check {name} does not hold")
 
-    def insert_rows(self, table: str, rows: list[tuple] | DataFrame) -> int:
-        """Insert many rows at once: Python values, or a DataFrame with the table's columns (one distributed write)."""
-        self.engine.locks.take(self, table, EXCLUSIVE)
-        try:
-            number, tables = self._state()
-            tables = tables if self.open else self.store.copy(tables)
-            e = self._entry(table, tables)
-            if not isinstance(rows, DataFrame):
-                rows = self.spark.createDataFrame([tuple(value(v, f) for v, f in zip(r, e.schema.fields, strict=True)) for r in rows], e.schema)
-            rows = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in e.schema.fields))
-            self._hold(e, self._frame(table, e).unionByName(rows))
-            part = self.store.write(table, rows, e)
+    def insert_rows(self, table: str, rows: list[tuple] | DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Insert many rows at once: Python values, or a DataFrame with the table's columns (one distributed write).
+
+        Constraints are checked on the new rows alone; their keys and unique values are looked up in the table. `batch` is the
+        name of a stream and a number: a batch that is not above the table's last one of that stream is in it already.
+        """
+
+        def insert(e: Entry) -> int:
+            if batch and batch[1] <= e.batches.get(batch[0], -1):
+                return 0
+            fields = e.schema.fields
+            new = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame([tuple(value(v, f) for v, f in zip(r, fields, strict=True)) for r in rows], e.schema)
+            part = self.store.write(table, new.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields)), e)
+            written = self.store.frame(replace(e, parts=[part]))
+            try:
+                self._hold(e, written)
+                now = self._frame(table, e)
+                for c in [e.key, *e.unique] if e.parts or self.open else []:
+                    if not written.select(f"`{c}`").join(now.select(f"`{c}`"), c, "left_semi").isEmpty():
+                        raise SqlError("constraint", f"column {c} must not repeat")
+            except BaseException:
+                self.store.remove(part)
+                raise
             e.parts.append(part)
-            n = self.spark.read.schema(e.schema).parquet(f"{self.store.root}/{part}").count()
-            if self.open:
-                self.open.events.append({"transaction": self.open.id, "type": "INSERT", "table": table, "rows": n})
-            else:
-                with self.engine.commits:
-                    self.store.commit(self._rebase(number, tables, {table}), tables)
-            return n
-        finally:
+            if batch:
+                e.batches[batch[0]] = batch[1]
             if not self.open:
-                self.engine.locks.free(self)
+                self._settle(table, e)
+            return written.count()
+
+        return self._change(table, "INSERT", insert)
 
     def optimize(self, table: str) -> None:
         """Rewrite a table compactly, in the order of its organisation and indexes."""
-        number, tables = self.store.latest()
-        e = self._entry(table, tables)
-        self._rewrite(table, e)
-        self.store.commit(number, tables)
+        self._change(table, "OPTIMIZE", lambda e: self._rewrite(table, e))
 
     def _insert(self, s: t.Insert, tables: dict[str, Entry]) -> Result:
         e = self._entry(s.table, tables)

@@ -1,7 +1,8 @@
 """Versioned tables: Parquet folders named by manifests.
 
 A manifest lists every table: its columns, key, indexes and the folders that hold its rows. A commit writes the next manifest
-under a number that nobody has taken, so of two writers one fails; readers keep the manifest that they have read. Folders that no
+under a number that nobody has taken, so of two writers one fails; readers keep the manifest that they have read. That needs a
+file system which creates a file only if there is none, as HDFS and local ones do; on others one engine may write. Folders that no
 manifest names are left over from what was rolled back or lost, and vacuum removes them. All files go through Hadoop's file
 systems, so a warehouse may lie in any of them.
 """
@@ -13,6 +14,7 @@ import uuid
 import zlib
 from copy import deepcopy
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,10 @@ from quarry.functions.types import field as column_field
 HEAP, SEQUENTIAL = "HEAP", "SEQUENTIAL"
 #: Side of a grid cell, in the unit of the points, by which an index of points sorts.
 CELL = 0.05
+#: More files than so many are sorted by an exchange where an order is asked for.
+FILES_IN_ORDER = 64
+#: A SEQUENTIAL table is rewritten when later folders hold more than this share of its first one's bytes, or are MANY.
+LOOSE, MANY = 0.3, 8
 
 
 @dataclass
@@ -39,12 +45,23 @@ class Entry:
     not_null: list[str] = field(default_factory=list)
     unique: list[str] = field(default_factory=list)
     checks: dict[str, str] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)  # the last batch of each stream that is in the table
 
     @property
     def schema(self) -> T.StructType:
         return T.StructType([column_field(n, k) for n, k in self.columns])
 
 
+def sorted_by(entry: Entry) -> str | None:
+    """The column that a table's files are sorted by: its key if SEQUENTIAL, else that of its first BTREE or BITMAP index, unless
+    an RTREE sorts them by cells."""
+    if entry.organisation == SEQUENTIAL:
+        return entry.key
+    if any(i["kind"] == "RTREE" for i in entry.indexes):
+        return None
+    return next((i["column"] for i in entry.indexes if i["kind"] in ("BTREE", "BITMAP")), None)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -93,24 +110,47 @@ class Store:
         return self.spark.read.schema(entry.schema).parquet(*(f"{self.root}/{p}" for p in entry.parts))
 
     def write(self, table: str, df: DataFrame, entry: Entry) -> str:
-        """A new folder with these rows, laid out as the table's organisation and indexes ask."""
+        """A new folder with these rows, laid out as the table's organisation and indexes ask.
+
+        Rows are sorted by one column, or by the cells of one; other indexed columns get Bloom filters for equality.
+        """
         part = f"data/{table}/{uuid.uuid4().hex}"
         by = []
-        if entry.organisation == SEQUENTIAL:
-            by = [F.col(f"`{entry.key}`")]
+        if column := sorted_by(entry):
+            by = [F.col(f"`{column}`")]
         elif found := [i for i in entry.indexes if i["kind"] == "RTREE"]:
             by = [spatial.cell(F.col(f"`{found[0]['column']}`"), CELL)]
-        elif found := [i for i in entry.indexes if i["kind"] in ("BTREE", "BITMAP")]:
-            by = [F.col(f"`{found[0]['column']}`")]
         if by:
             df = df.repartitionByRange(*by).sortWithinPartitions(*by)
-        writer = df.write
-        for i in entry.indexes:
-            if i["kind"] == "HASH":
-                writer = writer.option(f"parquet.bloom.filter.enabled#{i['column']}", "true")
+        writer, kinds = df.write, {f.name: f.dataType for f in entry.schema.fields}
+        for c in {i["column"] for i in entry.indexes if i["kind"] != "RTREE"} - {sorted_by(entry)}:
+            if not isinstance(kinds[c], T.BooleanType):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(f"{self.root}/{part}")
         return part
 
+    def in_order(self, entry: Entry, descending: bool = False) -> DataFrame | None:
+        """The rows by the column that files are sorted by, ties by the key, without an exchange; None where that cannot be.
+
+        The files of one folder hold ranges that follow each other, equal values in one file, so each is a task that sorts its
+        own rows.
+        """
+        if len(entry.parts) != 1 or not (column := sorted_by(entry)):
+            return None
+        names = sorted(n for n in self._names(entry.parts[0]) if n.startswith("part-"))
+        if not 0 < len(names) <= FILES_IN_ORDER:
+            return None
+        by = F.col(f"`{column}`")
+        frames = [self.spark.read.schema(entry.schema).parquet(f"{self.root}/{entry.parts[0]}/{n}").coalesce(1) for n in (reversed(names) if descending else names)]
+        return reduce(DataFrame.unionAll, [f.sortWithinPartitions(by.desc() if descending else by.asc(), F.col(f"`{entry.key}`").asc()) for f in frames])
+
+    def size(self, part: str) -> int:
+        """Bytes of a folder."""
+        return self.fs.getContentSummary(self._path(f"{self.root}/{part}")).getLength()
+
+    def remove(self, part: str) -> None:
+        self.fs.delete(self._path(f"{self.root}/{part}"), True)
+
     def vacuum(self) -> list[str]:
         """Remove folders that the newest manifest does not name, and older manifests; returns the folders."""
         n, tables = self.latest()

@@ -11,13 +11,11 @@ from quarry.session import Engine
 def append(stream: DataFrame, engine: Engine, table: str, checkpoint: str) -> StreamingQuery:
     """Start a query that inserts each micro-batch in one commit.
 
-    A batch that is sent again after a failure finds its keys and is left out, so each row is inserted once.
+    The table's manifest names the last batch that is in it, so one that is sent again after a failure is left out. A row whose
+    key is in the table breaks its constraint and ends the query.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        session = engine.session()
-        key = session.tables()[table].key
-        new = batch.join(session.tables()[table].frame.select(f"`{key}`"), key, "left_anti")
-        session.insert_rows(table, new)
+        engine.session().insert_rows(table, batch, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

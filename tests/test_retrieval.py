@@ -60,5 +60,8 @@ def test_cosine(index):
 
 def test_write(index, spark, tmp_path):
     index.write(f"file://{tmp_path}/i")
-    again = Index(spark.read.parquet(f"{tmp_path}/i"), "id")
+    again = Index.open(spark, f"file://{tmp_path}/i", "id")
     assert {r.id for r in again.boolean("gato OR pez").collect()} == {1, 2, 3}
+    for words in ("gato negro gato zzz", "pez", "zzz", ""):
+        assert [tuple(r) for r in again.cosine(words).collect()] == [tuple(r) for r in index.cosine(words).collect()]
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,gato)]" in again.list("gato")._jdf.queryExecution().toString()

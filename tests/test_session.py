@@ -211,12 +211,67 @@ def test_two_sessions_on_two_tables(engine):
 def test_a_stream_is_inserted_once(engine, spark, tmp_path):
     from quarry.streaming.appends import append
 
-    engine.session().sql("CREATE TABLE e (id INT PRIMARY KEY, w VARCHAR(9)) USING HEAP; INSERT INTO e VALUES (1, 'old')")
+    engine.session().sql("CREATE TABLE e (id INT PRIMARY KEY, w VARCHAR(9)) USING HEAP; INSERT INTO e VALUES (0, 'old')")
     spark.createDataFrame([(i, f"w{i}") for i in range(1, 30)], "id int, w string").repartition(3).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         append(spark.readStream.schema("id int, w string").parquet(f"{tmp_path}/in"), engine, "e", f"{tmp_path}/c").awaitTermination()
     s = engine.session()
-    assert rows(s, "SELECT COUNT(*) FROM e") == [(29,)] and rows(s, "SELECT w FROM e WHERE id = 1") == [("old",)]
+    assert rows(s, "SELECT COUNT(*) FROM e") == [(30,)] and rows(s, "SELECT w FROM e WHERE id = 0") == [("old",)]
+    some = spark.createDataFrame([(100, "x")], "id int, w string")
+    assert [s.insert_rows("e", some, ("stream", n)) for n in (0, 0)] == [1, 0]
+    with pytest.raises(SqlError, match="repeat"):
+        s.insert_rows("e", some, ("stream", 1))
+    assert rows(s, "SELECT COUNT(*) FROM e") == [(31,)]
+
+
+def test_an_order_that_files_have_needs_no_exchange(engine):
+    s = made(engine, "SEQUENTIAL")
+    for text, want in (("SELECT id FROM sales", range(1, 41)), ("SELECT id FROM sales ORDER BY id DESC", range(40, 0, -1)), ("SELECT id FROM sales WHERE id > 5 ORDER BY id LIMIT 3", (6, 7, 8))):
+        r = s.one(text)
+        assert [x[0] for x in r.rows()] == list(want)
+        assert "Exchange rangepartitioning" not in r.df._jdf.queryExecution().toString()
+    h = engine.session()
+    h.sql("CREATE TABLE heap (id INT PRIMARY KEY, land VARCHAR(2)) USING HEAP; CREATE INDEX ON heap (land) USING BTREE")
+    h.insert_rows("heap", [(i, ["AR", "BR", "MX"][i % 3]) for i in range(30, 0, -1)])
+    r = h.one("SELECT id FROM heap ORDER BY land DESC LIMIT 12")
+    assert [x[0] for x in r.rows()] == [*range(2, 31, 3), 1, 4] and "Exchange rangepartitioning" not in r.df._jdf.queryExecution().toString()
+    s.sql("BEGIN TRANSACTION; INSERT INTO sales VALUES (0, 'x', 1.0, 'AR')")
+    assert [x[0] for x in s.one("SELECT id FROM sales LIMIT 2").rows()] == [0, 1]
+    s.sql("END TRANSACTION")
+    assert [x[0] for x in s.one("SELECT id FROM sales ORDER BY id LIMIT 2").rows()] == [0, 1]
+
+
+def test_a_sequential_table_is_rewritten_when_much_lies_in_later_folders(engine):
+    s = made(engine, "SEQUENTIAL")
+    for i in range(3):
+        s.sql(f"INSERT INTO sales VALUES ({100 + i}, 'x', 1.0, 'AR')")
+    assert len(engine.store.latest()[1]["sales"].parts) == 1
+    assert rows(s, "SELECT COUNT(*) FROM sales") == [(43,)]
+
+
+def test_the_api_locks_and_takes_part_in_transactions(engine):
+    s, other = made(engine), engine.session()
+    s.sql("CREATE INDEX ON sales (land) USING BITMAP; BEGIN TRANSACTION")
+    s.drop_index("idx_sales_land_bitmap")
+    with pytest.raises(SqlError):
+        other.optimize("sales")
+    refused(other, "EXPLAIN SELECT * FROM sales", "lock")
+    s.sql("ROLLBACK")
+    assert rows(s, "SELECT index_name FROM sys_indexes") == [("idx_sales_land_bitmap",)]
+    other.optimize("sales")
+    assert engine.health() | {"manifest": 0} == {"status": "ok", "manifest": 0, "tables": 1, "open_transactions": 0, "locks": 0}
+    assert engine.recovery_status().count() == 0 and engine.recover() and engine.recovery_status().count() > 0
+
+
+def test_a_geodesic_radius_reaches_the_scan(engine):
+    s = engine.session()
+    s.sql("CREATE TABLE p (id INT PRIMARY KEY, at POINT) USING HEAP; INSERT INTO p VALUES (1, POINT(-77, -12)); INSERT INTO p VALUES (2, POINT(10, 50))")
+    asked = "SELECT id FROM p WHERE distancia_geodesica(at, POINT(-77, -12)) < 9000"
+    assert rows(s, asked) == [(1,)]
+    assert "at.x" in s.one(asked).df._jdf.queryExecution().toString().split("PushedFilters")[1]
+    s.sql("INSERT INTO p VALUES (3, POINT(10, 95))")
+    with pytest.raises(Exception, match="longitude"):
+        rows(s, asked)
 
 
 def test_points_feed(engine):
