@@ -30,14 +30,16 @@ PATTERNS = {
 #: Score without and with a word of WORDS within NEAR code points.
 SCORES = {"email": (0.9, 1.0), "ip": (0.7, 0.9), "card": (0.8, 1.0), "phone": (0.7, 0.9), "iban": (0.8, 1.0), "ssn": (0.3, 0.8), "tel": (0.3, 0.7)}
 ENOUGH, NEAR = 0.5, 40
+#: Words nearby that speak for a kind, in English, Spanish, French and German.
+_PHONE = r"(?iu)\b(phone|tel|telephone|call|mobile|fax|teléfono|móvil|llame|llamar|téléphone|portable|appeler|appelez|telefon|handy|anrufen|ruf)\b"
 WORDS = {
-    "email": r"(?i)\b(e-?mail|mail|contact|write)\b",
-    "ip": r"(?i)\b(ip|address|host|server)\b",
-    "card": r"(?i)\b(card|visa|mastercard|credit|debit|pay)\b",
-    "phone": r"(?i)\b(phone|tel|call|mobile|fax)\b",
-    "iban": r"(?i)\b(iban|account|bank|konto)\b",
-    "ssn": r"(?i)\b(ssn|social security|tax id)\b",
-    "tel": r"(?i)\b(phone|tel|telephone|call|mobile|fax)\b",
+    "email": r"(?iu)\b(e-?mail|mail|contact|write|correo|escriba|courriel|écrire|schreiben|kontakt)\b",
+    "ip": r"(?iu)\b(ip|address|host|server|dirección|servidor|adresse|serveur)\b",
+    "card": r"(?iu)\b(card|visa|mastercard|credit|debit|pay|tarjeta|pagar|carte|payer|karte|zahlen)\b",
+    "phone": _PHONE,
+    "iban": r"(?iu)\b(iban|account|bank|konto|cuenta|banco|compte|banque)\b",
+    "ssn": r"(?iu)\b(ssn|social security|tax id|seguro social|sécurité sociale|sozialversicherung)\b",
+    "tel": _PHONE,
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, bpe, embdedup, minhash, packing, pii, secrets, toxicity, urls, warc
@@ -28,15 +28,16 @@ def _is(kind: str) -> Callable:
     return lambda s: s["kind"] == kind
 
 
-def _spans(df: DataFrame, kinds: list[str]) -> DataFrame:
+def _spans(df: DataFrame, kinds: list[str], *more: Column) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     counts = (F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in kinds)
-    return df.select("doc_id", *counts, digest(as_text(base)).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return df.select("doc_id", *counts, digest(as_text(base)).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), *more)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data."""
-    return _spans(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")), pii.BASE)
+    """Spans of personal data, and their scores in the same order."""
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _spans(found, pii.BASE, F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
