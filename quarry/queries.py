@@ -41,10 +41,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, planner.Table]:
     out = {n: planner.Table(n, table(spark, sf_dir, n), KEYS.get(n)) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
         out[f"{name}_at"] = planner.Table(f"{name}_at", located(out[name].frame, key), key)
-    routes = out["customer_at"].frame.withColumnRenamed("location", "origin").join(
-        out["supplier_at"].frame.withColumnRenamed("location", "target"), F.col("c_nationkey") == F.col("s_nationkey")
-    )
-    out["routes"] = planner.Table("routes", routes.select("c_custkey", "s_suppkey", "origin", "target"))
+    target = located(out["nation"].frame, "n_nationkey").select("n_nationkey", F.col("location").alias("target"))
+    routes = out["customer_at"].frame.withColumnRenamed("location", "origin").join(target, F.col("c_nationkey") == F.col("n_nationkey"))
+    out["routes"] = planner.Table("routes", routes.select("c_custkey", "n_nationkey", "origin", "target"), "c_custkey")
     return out
 
 
@@ -156,6 +155,7 @@ def _xy(key: str) -> str:
 
 
 CUSTOMERS = f"(SELECT c_custkey, c_mktsegment, c_nationkey, {_xy('c_custkey')} FROM customer)"
+NATIONS = f"(SELECT n_nationkey, {_xy('n_nationkey')} FROM nation)"
 SUPPLIERS = f"(SELECT s_suppkey, s_nationkey, {_xy('s_suppkey')} FROM supplier)"
 
 
@@ -181,16 +181,16 @@ _distances("dist_euclidean", spatial.EUCLIDEAN, _plane)
 _distances("dist_geodesic", spatial.GEODESIC, _sphere)
 
 
-@query("dist_col_col", f"SELECT c_custkey, s_suppkey, round({_sphere('c.x', 'c.y', 's.x', 's.y')}, 3) AS d FROM {CUSTOMERS} c JOIN {SUPPLIERS} s ON c_nationkey = s_nationkey")
+@query("dist_col_col", f"SELECT c_custkey, n_nationkey, round({_sphere('c.x', 'c.y', 'n.x', 'n.y')}, 3) AS d FROM {CUSTOMERS} c JOIN {NATIONS} n ON c_nationkey = n_nationkey")
 def _col_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = tables(spark, sf_dir)["routes"].frame
-    return routes.select("c_custkey", "s_suppkey", F.round(spatial.geodesic(F.col("origin"), F.col("target")), 3).alias("d"))
+    return routes.select("c_custkey", "n_nationkey", F.round(spatial.geodesic(F.col("origin"), F.col("target")), 3).alias("d"))
 
 
 _K = "c_custkey"
 dialect("radius_euclidean", "SELECT c_custkey FROM customer_at WHERE distancia(location, POINT(-77.0428, -12.0464)) <= 20", _K, f"SELECT c_custkey FROM {CUSTOMERS} WHERE {_plane('x', 'y', LX, LY)} <= 20")
 dialect("radius_geodesic", "SELECT c_custkey FROM customer_at WHERE distancia_geodesica(location, POINT(-77.0428, -12.0464)) < 3000000", _K, f"SELECT c_custkey FROM {CUSTOMERS} WHERE {_sphere('x', 'y', LX, LY)} < 3000000")
-dialect("dist_col_col_filter", "SELECT c_custkey, s_suppkey FROM routes WHERE distancia_geodesica(origin, target) > 15000000", "c_custkey s_suppkey", f"SELECT c_custkey, s_suppkey FROM {CUSTOMERS} c JOIN {SUPPLIERS} s ON c_nationkey = s_nationkey WHERE {_sphere('c.x', 'c.y', 's.x', 's.y')} > 15000000")
+dialect("dist_col_col_filter", "SELECT c_custkey, n_nationkey FROM routes WHERE distancia_geodesica(origin, target) > 15000000", "c_custkey n_nationkey", f"SELECT c_custkey, n_nationkey FROM {CUSTOMERS} c JOIN {NATIONS} n ON c_nationkey = n_nationkey WHERE {_sphere('c.x', 'c.y', 'n.x', 'n.y')} > 15000000")
 dialect("knn_euclidean", "SELECT c_custkey FROM customer_at ORDER BY distancia(location, POINT(-77.0428, -12.0464)) LIMIT 10", _K, f"SELECT c_custkey FROM {CUSTOMERS} ORDER BY {_plane('x', 'y', LX, LY)}, 1 LIMIT 10")
 dialect("knn_geodesic", "SELECT c_custkey FROM customer_at ORDER BY distancia_geodesica(location, POINT(-77.0428, -12.0464)) LIMIT 10", _K, f"SELECT c_custkey FROM {CUSTOMERS} ORDER BY {_sphere('x', 'y', LX, LY)}, 1 LIMIT 10")
 dialect("knn_filtered", "SELECT c_custkey FROM customer_at WHERE c_mktsegment = 'BUILDING' ORDER BY distancia(location, POINT(-77.0428, -12.0464)) ASC LIMIT 10", _K, f"SELECT c_custkey FROM {CUSTOMERS} WHERE c_mktsegment = 'BUILDING' ORDER BY {_plane('x', 'y', LX, LY)}, 1 LIMIT 10")

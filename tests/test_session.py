@@ -231,9 +231,9 @@ def test_an_order_that_files_have_needs_no_exchange(engine):
         assert [x[0] for x in r.rows()] == list(want)
         assert "Exchange rangepartitioning" not in r.df._jdf.queryExecution().toString()
     h = engine.session()
-    h.sql("CREATE TABLE heap (id INT PRIMARY KEY, land VARCHAR(2)) USING HEAP; CREATE INDEX ON heap (land) USING BTREE")
-    h.insert_rows("heap", [(i, ["AR", "BR", "MX"][i % 3]) for i in range(30, 0, -1)])
-    r = h.one("SELECT id FROM heap ORDER BY land DESC LIMIT 12")
+    h.sql("CREATE TABLE lands (id INT PRIMARY KEY, land VARCHAR(2)) USING HEAP; CREATE INDEX ON lands (land) USING BTREE")
+    h.insert_rows("lands", [(i, ["AR", "BR", "MX"][i % 3]) for i in range(30, 0, -1)])
+    r = h.one("SELECT id FROM lands ORDER BY land DESC LIMIT 12")
     assert [x[0] for x in r.rows()] == [*range(2, 31, 3), 1, 4] and "Exchange rangepartitioning" not in r.df._jdf.queryExecution().toString()
     s.sql("BEGIN TRANSACTION; INSERT INTO sales VALUES (0, 'x', 1.0, 'AR')")
     assert [x[0] for x in s.one("SELECT id FROM sales LIMIT 2").rows()] == [0, 1]
