@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import Numbers, Pool, ship, slices, texts_of, utf8
+from quarry.llm.common import Numbers, Pool, held, ship, slices, texts_of, utf8
 
 NONE = np.iinfo(np.int32).max
 #: Pieces longer than this go one by one; a leaf holds (rank, position) in 31 bits, so a position there has 8 of them.
@@ -26,7 +25,7 @@ LONGEST_IN_STEP, PLACE_BITS = 256, 8
 #: Leaves of the trees that are built at once.
 IN_STEP = 1 << 17
 #: Longer chunks are not kept in the cache; entries, and ids of all of them, that empty it.
-LONGEST_CACHED, CACHED, IDS_CACHED = 48, 400_000, 8_000_000
+LONGEST_CACHED, CACHED, IDS_CACHED = 48, 350_000, 8_000_000
 #: White space besides space and line feed.
 RARE = "".join(chr(i) for i in range(0x3001) if regex.match(r"\s", chr(i)) and chr(i) not in " \n")
 #: In front of a text's first chunk, which has no space before it; two lone surrogates, which no decoded text holds.
@@ -265,9 +264,8 @@ class Encoder:
         return np.concatenate([[0], np.cumsum(lengths)])[offsets], data
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    return held(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes of text that a Python worker turns into Python strings at once.
 SLICE_BYTES = 4 << 20
 
@@ -171,6 +176,21 @@ class Bounded(dict):
             self.clear()
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """A worker's own object, such as a cache of words. It outlives a task and goes when a task needs another one."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # hand the memory back where the C library can
+                trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
 class Numbers(dict):
     """Numbers of keys by the order in which they come; looking up a new key gives it the next one."""
 

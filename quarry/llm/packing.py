@@ -15,7 +15,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import Numbers, Pool, keep, ship, slices, texts_of, utf8
+from quarry.llm.common import Numbers, Pool, held, keep, ship, slices, texts_of, utf8
 
 #: A length is large if it is more than a share of a sequence. Large lengths are cut into groups of equal cardinality; a length
 #: that would fill a group has one of its own. No share is best for all histograms: a low one lets more lengths share a
@@ -34,7 +33,7 @@ from quarry.llm.common import Numbers, Pool, keep, ship, slices, texts_of, utf8
 TRIES = ((0.45, 48), (1 / 5, 48), (1 / 10, 48), (1 / 5, 128))
 CLOSE = 0.0005
 #: Chunks between white space, or words in them, and ids of all of them, that empty a worker's cache; longer ones are not kept.
-CACHED, IDS_CACHED, LONGEST_CACHED = 700_000, 8_000_000, 48
+CACHED, IDS_CACHED, LONGEST_CACHED = 300_000, 8_000_000, 48
 #: Pieces of one length among which places are dealt in one task, about.
 RANKED_TOGETHER = 1_000
 
@@ -138,9 +137,8 @@ class Tokens:
                     del known[c]
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str, end: int) -> Tokens:
-    return Tokens(path, end)
+    return held(("packing", path, end), lambda: Tokens(path, end))
 
 
 def pieces(docs: DataFrame, path: str, size: int, end: int, ids: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quarry.llm.common import Numbers, named, ship, slices, texts_of, utf8
+from quarry.llm.common import Numbers, held, named, ship, slices, texts_of, utf8
 
 #: Words in a window, and from one window's start to the next; embedding sizes; states of each direction; attention's size.
 WINDOW, STRIDE = 48, 24
@@ -31,7 +31,7 @@ FOLDS = 5
 #: Documents that score as much are toxic.
 TOXIC = 0.5
 STRIP = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
-CACHED = 300_000
+CACHED = 150_000
 #: Windows that run through the network at once.
 TOGETHER = 2_048
 
@@ -270,7 +270,7 @@ class Scorer:
 
     def _empty(self) -> None:
         self.rows = Numbers()
-        self.f = self.b = np.zeros((0, 3 * STATES), np.float32)
+        self.f, self.b = (np.empty((CACHED + CACHED // 2, 3 * STATES), np.float32) for _ in "fb")
 
     def _learn(self, words: list[str], numbers: np.ndarray) -> None:
         """The rows of words that are new; the arrays grow by halves."""
@@ -278,7 +278,8 @@ class Scorer:
             return
         if (n := int(numbers[-1]) + 1) > len(self.f):
             more = np.zeros((n + n // 2 - len(self.f), 3 * STATES), np.float32)
-            self.f, self.b = np.concatenate([self.f, more]), np.concatenate([self.b, more])
+            self.f = np.concatenate([self.f, more])
+            self.b = np.concatenate([self.b, more])
         p = self.net.p
         for i in range(0, len(words), 20_000):
             x, _ = self.net.inputs(words[i : i + 20_000])
@@ -303,7 +304,7 @@ class Scorer:
             o, s = of[i : i + TOGETHER], start[i : i + TOGETHER]
             at = np.minimum((first[o] + s)[:, None] + place, len(flat) - 1)
             rows = np.where(s[:, None] + place < n[o][:, None], flat[at], -1)
-            out[i : i + TOGETHER] = self.net.logits(self.f, self.b, rows) if len(self.f) else self.net.p["bias"][0]
+            out[i : i + TOGETHER] = self.net.logits(self.f, self.b, rows) if self.rows.next else self.net.p["bias"][0]
         best = np.maximum.reduceat(out, np.cumsum([0, *(len(s) for s in starts[:-1])])) if len(parts) else out
         return sigmoid(best.astype(np.float64))
 
@@ -322,15 +323,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(name: str, sent) -> Scorer:
-    """The worker's scorer for a broadcast network; it outlives a task."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(sent.value)
-    return _scorers[name]
+    """The worker's scorer for a broadcast network."""
+    return held(("toxicity", name), lambda: Scorer(sent.value))
 
 
 def score(docs: DataFrame, net: Network, name: str = "toxicity") -> DataFrame:
