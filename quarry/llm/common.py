@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 
 #: Bytes of text that a Python worker turns into Python strings at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

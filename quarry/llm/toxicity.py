@@ -33,7 +33,7 @@ TOXIC = 0.5
 STRIP = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 CACHED = 150_000
 #: Windows that run through the network at once.
-TOGETHER = 2_048
+TOGETHER = 1_024
 
 
 def split(text: str) -> list[str]:
@@ -281,8 +281,8 @@ class Scorer:
             self.f = np.concatenate([self.f, more])
             self.b = np.concatenate([self.b, more])
         p = self.net.p
-        for i in range(0, len(words), 20_000):
-            x, _ = self.net.inputs(words[i : i + 20_000])
+        for i in range(0, len(words), 5_000):
+            x, _ = self.net.inputs(words[i : i + 5_000])
             at = slice(numbers[i], numbers[i] + len(x))
             self.f[at], self.b[at] = x @ p["wf"] + p["cf"], x @ p["wb"] + p["cb"]
 
