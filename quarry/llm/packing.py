@@ -33,7 +33,7 @@ from quarry.llm.common import Numbers, Pool, held, keep, ship, slices, texts_of,
 TRIES = ((0.45, 48), (1 / 5, 48), (1 / 10, 48), (1 / 5, 128))
 CLOSE = 0.0005
 #: Chunks between white space, or words in them, and ids of all of them, that empty a worker's cache; longer ones are not kept.
-CACHED, IDS_CACHED, LONGEST_CACHED = 300_000, 8_000_000, 48
+CACHED, IDS_CACHED, LONGEST_CACHED = 500_000, 8_000_000, 48
 #: Pieces of one length among which places are dealt in one task, about.
 RANKED_TOGETHER = 1_000
 
